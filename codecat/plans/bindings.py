@@ -11,7 +11,7 @@ concepts onto them (the same operators then run on extracted code):
     method     distinct (supplier, part) of lineitem; pointer receiver when
                any of those lines has return flag R
     iface req  distinct (order, part) of lineitem: the methods an order needs
-    var/const  part; constant when p_size > 25
+    var/const  part, named CamelCase(p_name) || key; constant when p_size > 25
     embed      supplier -> supplier div 3 and supplier div 4 (key > 0)
     file       /src/<source>/<lang>/<doc_id>.txt for documents
 
@@ -124,12 +124,17 @@ def interface_methods(spark, sf_dir, ifaces: DataFrame) -> DataFrame:
                     "file", F.col("l_partkey").alias("line")))
 
 
+def camel(c) -> F.Column:
+    """``large ring`` -> ``LargeRing``."""
+    return F.regexp_replace(F.initcap(c), " ", "")
+
+
 def part_vars(part: DataFrame) -> DataFrame:
     t = F.lower("p_type")
     is_const = F.col("p_size") > 25
     return part.select(
         F.concat(F.lit("example.com/parts/"), t).alias("package"),
-        F.concat(F.lit("Part"), F.col("p_partkey").cast("string")).alias("name"),
+        F.concat(camel(F.col("p_name")), F.col("p_partkey").cast("string")).alias("name"),
         F.when(is_const, F.lit("untyped float")).otherwise(F.lit("float64")).alias("type"),
         is_const.alias("is_const"),
         F.col("p_name").alias("doc"),

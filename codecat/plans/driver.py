@@ -81,3 +81,206 @@ def q_find_implementations(spark, sf):
     r = implement.find_implementations(cat, _iface_requests(cat))
     return r.where(F.col("route").isin("value", "pointer")).select(
         "req_id", "iface_name", "package", "name", "kind", "file", "line")
+
+
+@query("implementations_via", with_catalog("""
+SELECT i.req_id, i.name, i.route FROM impl i""", _DIVISION))
+def q_implementations_via(spark, sf):
+    """The route (value / pointer) of every implementor."""
+    cat = B.tpch_catalog(spark, sf)
+    r = implement.find_implementations(cat, _iface_requests(cat))
+    return r.where(F.col("route").isin("value", "pointer")).select("req_id", "name", "route")
+
+
+@query("implementations_empty", with_catalog("""
+SELECT r.req_id, r.ipkg AS iface_package, r.iname AS iface_name, 'any_concrete' AS route
+FROM req r WHERE r.req_id NOT IN (SELECT req_id FROM nreq)""", _DIVISION))
+def q_implementations_empty(spark, sf):
+    """L6 empty branch: interfaces with no methods (orders without lines)."""
+    cat = B.tpch_catalog(spark, sf)
+    r = implement.find_implementations(cat, _iface_requests(cat))
+    return r.where(F.col("route") == "any_concrete").select("req_id", "iface_package", "iface_name", "route")
+
+
+def _status_requests(spark, sf, cat):
+    """L8 requests: every order (ok), every customer (a func), every supplier
+    (a struct), every order under a missing name and under a missing package."""
+    it = cat.types.where(F.col("kind") == "interface")
+    st = cat.types.where(F.col("kind") == "struct")
+    ok = it.select(F.concat(F.lit("o"), F.col("line").cast("string")).alias("req_id"), "package",
+                   F.col("name").alias("interface"))
+    fn = cat.funcs.select(F.concat(F.lit("c"), F.col("line").cast("string")).alias("req_id"), "package",
+                          F.col("name").alias("interface"))
+    sp = st.select(F.concat(F.lit("s"), F.col("line").cast("string")).alias("req_id"), "package",
+                   F.col("name").alias("interface"))
+    miss = it.select(F.concat(F.lit("x"), F.col("line").cast("string")).alias("req_id"), "package",
+                     F.concat(F.lit("Missing"), F.col("line").cast("string")).alias("interface"))
+    nopk = it.select(F.concat(F.lit("n"), F.col("line").cast("string")).alias("req_id"),
+                     F.concat(F.col("package"), F.lit("/none")).alias("package"),
+                     F.col("name").alias("interface"))
+    return ok.unionByName(fn).unionByName(sp).unionByName(miss).unionByName(nopk)
+
+
+@query("implementations_status", with_catalog("""
+SELECT r.req_id, CASE WHEN p.package IS NULL THEN 'package_not_found'
+                      WHEN s.name IS NULL THEN 'symbol_not_found'
+                      WHEN NOT s.is_type THEN 'not_a_type'
+                      WHEN s.kind <> 'interface' THEN 'not_an_interface'
+                      ELSE 'ok' END AS status,
+       coalesce(n.n_impl, 0) AS n_implementors
+FROM sreq r
+LEFT JOIN pk p ON p.package = r.package
+LEFT JOIN (SELECT package, name, bool_or(is_type) AS is_type, max(CASE WHEN is_type THEN kind END) AS kind
+           FROM (SELECT package, name, true AS is_type, kind FROM ty
+                 UNION ALL SELECT package, name, false, 'func' FROM fn
+                 UNION ALL SELECT package, name, false, 'var' FROM vs) GROUP BY ALL) s
+  ON s.package = r.package AND s.name = r.interface
+LEFT JOIN (SELECT 'o' || CAST(req_id AS VARCHAR) AS req_id, count(*) AS n_impl FROM impl GROUP BY 1) n
+  ON n.req_id = r.req_id""", _DIVISION, """
+sreq AS (
+  SELECT 'o' || CAST(line AS VARCHAR) AS req_id, package, name AS interface FROM it
+  UNION ALL SELECT 'c' || CAST(line AS VARCHAR), package, name FROM fn
+  UNION ALL SELECT 's' || CAST(line AS VARCHAR), package, name FROM st
+  UNION ALL SELECT 'x' || CAST(line AS VARCHAR), package, 'Missing' || CAST(line AS VARCHAR) FROM it
+  UNION ALL SELECT 'n' || CAST(line AS VARCHAR), package || '/none', name FROM it)"""))
+def q_implementations_status(spark, sf):
+    """Ordered checks, then the implementor count of each request."""
+    cat = B.tpch_catalog(spark, sf)
+    reqs = _status_requests(spark, sf, cat)
+    st = implement.interface_status(cat, reqs).select("req_id", "status")
+    n = (implement.find_implementations(cat, reqs).where(F.col("name").isNotNull())
+         .groupBy("req_id").agg(F.count(F.lit(1)).alias("n_implementors")))
+    return (st.join(n, "req_id", "left")
+            .select("req_id", "status", F.coalesce("n_implementors", F.lit(0)).alias("n_implementors")))
+
+
+# ---------------------------------------------------------------- find_symbol
+
+CAMEL = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '')"
+
+
+def _fs_sql(reqs: str) -> str:
+    """find_symbol oracle over a CTE ``r0(req_id, q, kind, match)``."""
+    pred = "(r.kind IS NULL OR r.kind = '' OR s.kind = r.kind)"
+    cols = "r.req_id, 'ok' AS status, s.name, s.package, s.kind, s.receiver, s.signature, s.file, s.line"
+    return with_catalog(f"""
+SELECT {cols} FROM reqs r JOIN refs s ON s.name = r.q WHERE r.status IS NULL AND r.mode = 'exact' AND {pred}
+UNION ALL
+SELECT {cols} FROM reqs r JOIN refs s ON starts_with(s.name, r.q)
+WHERE r.status IS NULL AND r.mode = 'prefix' AND {pred}
+UNION ALL
+SELECT {cols} FROM reqs r JOIN refs s ON contains(s.name, r.q)
+WHERE r.status IS NULL AND r.mode = 'contains' AND {pred}
+UNION ALL
+SELECT r.req_id, r.status, NULL, NULL, NULL, NULL, NULL, NULL, CAST(NULL AS BIGINT) FROM reqs r
+WHERE r.status IS NOT NULL""", reqs, """
+reqs AS (
+  SELECT req_id, q, kind, coalesce(match, 'exact') AS mode,
+         CASE WHEN coalesce(strlen(q) > 2048, false) OR coalesce(strlen(kind) > 2048, false)
+                   OR coalesce(strlen(match) > 2048, false) THEN 'argument_too_long'
+              WHEN q IS NULL THEN 'missing_argument'
+              WHEN match IS NOT NULL AND match NOT IN ('exact', 'prefix', 'contains') THEN 'unknown_match_mode'
+         END AS status
+  FROM r0)""")
+
+
+def _req(df, req_id, name, kind=None, match=None):
+    return df.select(req_id.alias("req_id"), name.alias("name"),
+                     (kind if kind is not None else F.lit(None)).cast("string").alias("kind"),
+                     (match if match is not None else F.lit(None)).cast("string").alias("match"))
+
+
+def _k(prefix: str, col: str):
+    return F.concat(F.lit(prefix), F.col(col).cast("string"))
+
+
+@query("find_symbol_exact", _fs_sql(f"""
+r0 AS (
+  SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS req_id, 'Customer' || CAST(o_custkey AS VARCHAR) AS q,
+         CAST(NULL AS VARCHAR) AS kind, 'exact' AS match FROM orders
+  UNION ALL SELECT 'p' || CAST(p_partkey AS VARCHAR), {CAMEL} || CAST(p_partkey AS VARCHAR), NULL, 'exact' FROM part
+  UNION ALL SELECT 'm' || CAST(p_partkey AS VARCHAR), 'Part' || CAST(p_partkey AS VARCHAR), NULL, 'exact' FROM part)"""))
+def q_find_symbol_exact(spark, sf):
+    cat = B.tpch_catalog(spark, sf)
+    o, p = B.table(spark, sf, "orders"), B.table(spark, sf, "part")
+    reqs = (_req(o, _k("o", "o_orderkey"), _k("Customer", "o_custkey"), match=F.lit("exact"))
+            .unionByName(_req(p, _k("p", "p_partkey"), F.concat(B.camel(F.col("p_name")),
+                                                                F.col("p_partkey").cast("string")),
+                              match=F.lit("exact")))
+            .unionByName(_req(p, _k("m", "p_partkey"), _k("Part", "p_partkey"), match=F.lit("exact"))))
+    return lookup.find_symbol(cat, reqs)
+
+
+_W1 = "upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:]"
+_W2 = "split_part(p_name, ' ', 2)"
+
+
+@query("find_symbol_prefix", _fs_sql(f"""
+r0 AS (
+  SELECT DISTINCT q AS req_id, q, CAST(NULL AS VARCHAR) AS kind, 'prefix' AS match FROM (
+    SELECT {CAMEL} AS q FROM part UNION ALL SELECT {_W1} FROM part))"""))
+def q_find_symbol_prefix(spark, sf):
+    cat = B.tpch_catalog(spark, sf)
+    p = B.table(spark, sf, "part")
+    q = (p.select(B.camel(F.col("p_name")).alias("q"))
+         .unionByName(p.select(F.initcap(F.substring_index("p_name", " ", 1)).alias("q"))).distinct())
+    return lookup.find_symbol(cat, _req(q, F.col("q"), F.col("q"), match=F.lit("prefix")))
+
+
+@query("find_symbol_contains", _fs_sql(f"""
+r0 AS (
+  SELECT DISTINCT q AS req_id, q, CAST(NULL AS VARCHAR) AS kind, 'contains' AS match FROM (
+    SELECT upper({_W2}[1]) || {_W2}[2:] AS q FROM part UNION ALL SELECT {_W2}[2:] FROM part))"""))
+def q_find_symbol_contains(spark, sf):
+    cat = B.tpch_catalog(spark, sf)
+    p = B.table(spark, sf, "part")
+    w2 = F.substring_index("p_name", " ", -1)
+    q = (p.select(F.initcap(w2).alias("q"))
+         .unionByName(p.select(F.expr("substring(substring_index(p_name, ' ', -1), 2)").alias("q"))).distinct())
+    return lookup.find_symbol(cat, _req(q, F.col("q"), F.col("q"), match=F.lit("contains")))
+
+
+@query("find_symbol_kinds", _fs_sql(f"""
+r0 AS (
+  SELECT 'k' || CAST(p_partkey AS VARCHAR) AS req_id,
+         CASE p_type WHEN 'LARGE' THEN 'Part' || CAST(p_partkey AS VARCHAR)
+                     WHEN 'MEDIUM' THEN 'Customer' || CAST(p_partkey AS VARCHAR)
+                     ELSE {CAMEL} || CAST(p_partkey AS VARCHAR) END AS q,
+         CASE p_type WHEN 'STANDARD' THEN 'const' WHEN 'ECONOMY' THEN 'var' WHEN 'LARGE' THEN 'method'
+                     WHEN 'MEDIUM' THEN 'func' WHEN 'SMALL' THEN '' ELSE 'bogus' END AS kind,
+         CASE WHEN p_size <= 10 AND p_type <> 'LARGE' THEN 'prefix' ELSE 'exact' END AS match
+  FROM part)"""))
+def q_find_symbol_kinds(spark, sf):
+    """U1 + L1 + F5-F7 + F14: modes and kinds mixed in one batch."""
+    cat = B.tpch_catalog(spark, sf)
+    p = B.table(spark, sf, "part")
+    t = F.col("p_type")
+    name = (F.when(t == "LARGE", _k("Part", "p_partkey")).when(t == "MEDIUM", _k("Customer", "p_partkey"))
+            .otherwise(F.concat(B.camel(F.col("p_name")), F.col("p_partkey").cast("string"))))
+    kind = (F.when(t == "STANDARD", "const").when(t == "ECONOMY", "var").when(t == "LARGE", "method")
+            .when(t == "MEDIUM", "func").when(t == "SMALL", "").otherwise("bogus"))
+    match = F.when((F.col("p_size") <= 10) & (t != "LARGE"), "prefix").otherwise("exact")
+    return lookup.find_symbol(cat, _req(p, _k("k", "p_partkey"), name, kind, match))
+
+
+@query("find_symbol_bad_mode", _fs_sql("""
+r0 AS (
+  SELECT 'b' || CAST(o_orderkey AS VARCHAR) AS req_id,
+         CASE o_orderstatus WHEN 'F' THEN 'Customer' || CAST(o_custkey AS VARCHAR)
+                            WHEN 'O' THEN NULL
+                            ELSE repeat('Q', 2040 + length(o_orderpriority)) END AS q,
+         CAST(NULL AS VARCHAR) AS kind,
+         CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'fuzzy' WHEN '2' THEN NULL WHEN '3' THEN 'exact'
+                                            WHEN '4' THEN 'Prefix' ELSE 'contains' END AS match
+  FROM orders)"""))
+def q_find_symbol_bad_mode(spark, sf):
+    """Unknown modes, missing names, over-long names."""
+    cat = B.tpch_catalog(spark, sf)
+    o = B.table(spark, sf, "orders")
+    name = (F.when(F.col("o_orderstatus") == "F", _k("Customer", "o_custkey"))
+            .when(F.col("o_orderstatus") == "O", F.lit(None))
+            .otherwise(F.expr("repeat('Q', 2040 + length(o_orderpriority))")))
+    d = F.substring("o_orderpriority", 1, 1)
+    match = (F.when(d == "1", "fuzzy").when(d == "2", F.lit(None)).when(d == "3", "exact")
+             .when(d == "4", "Prefix").otherwise("contains"))
+    return lookup.find_symbol(cat, _req(o, _k("b", "o_orderkey"), name, None, match))

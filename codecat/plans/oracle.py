@@ -70,7 +70,9 @@ IM = """im AS (
 ME = """me AS (SELECT * FROM sm UNION ALL SELECT * FROM im)"""
 
 VS = """vs AS (
-  SELECT 'example.com/parts/' || lower(p_type) AS package, 'Part' || CAST(p_partkey AS VARCHAR) AS name,
+  SELECT 'example.com/parts/' || lower(p_type) AS package,
+         array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '')
+           || CAST(p_partkey AS VARCHAR) AS name,
          CASE WHEN p_size > 25 THEN 'untyped float' ELSE 'float64' END AS type,
          p_size > 25 AS is_const, p_name AS doc,
          '/src/parts/' || lower(p_type) || '/' || lower(replace(p_brand, '#', '_')) || '.go' AS file,
