@@ -284,3 +284,220 @@ def q_find_symbol_bad_mode(spark, sf):
     match = (F.when(d == "1", "fuzzy").when(d == "2", F.lit(None)).when(d == "3", "exact")
              .when(d == "4", "Prefix").otherwise("contains"))
     return lookup.find_symbol(cat, _req(o, _k("b", "o_orderkey"), name, None, match))
+
+
+# ------------------------------------------------------- package / file symbols
+
+_SEC = """
+sec AS (
+  SELECT 'funcs' AS section, package, name, CAST(NULL AS VARCHAR) AS type_name, 'func' AS kind, receiver,
+         signature, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS BOOLEAN) AS is_const, doc, body, file, line
+  FROM fn
+  UNION ALL SELECT 'types', package, name, NULL, kind, NULL, NULL, NULL, NULL, doc, NULL, file, line FROM ty
+  UNION ALL SELECT 'vars', package, name, NULL, CASE WHEN is_const THEN 'const' ELSE 'var' END, NULL, NULL,
+                   type, is_const, doc, NULL, file, line FROM vs)"""
+
+
+def _symbols_sql(match_cte: str, with_bad: bool) -> str:
+    """Oracle for L4/L5 over ``hit0(req_id, inc_unexp, inc_bodies, <sec cols>)``."""
+    bad = """
+UNION ALL
+SELECT req_id, 'package_not_found', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       CAST(NULL AS BIGINT)
+FROM preq WHERE q NOT IN (SELECT package FROM pk)""" if with_bad else ""
+    return with_catalog(f"""
+SELECT req_id, 'ok' AS status, section, package, name, type_name, kind, receiver, signature, type, is_const, doc,
+       CASE WHEN inc_bodies THEN body END AS body, file, line
+FROM hits
+UNION ALL
+SELECT h.req_id, 'ok', 'methods', m.package, m.name, m.type_name, 'method', m.receiver, m.signature, NULL, NULL,
+       NULL, NULL, m.file, m.line
+FROM hits h JOIN me m ON h.section = 'types' AND m.package = h.package AND m.type_name = h.name{bad}""",
+                        _SEC, match_cte, """
+hits AS (SELECT * FROM hit0 WHERE coalesce(inc_unexp, false) OR regexp_matches(name, '^\\p{Lu}'))""")
+
+
+def _pkg_requests(spark, sf, bodies: bool):
+    npk = B.nation_packages(spark, sf)
+    n = B.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    r = B.table(spark, sf, "region")
+    region = F.regexp_replace(F.lower("r_name"), " ", "_")
+    nat = (npk.join(n, npk.nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+           .select(_k("n", "nationkey").alias("req_id"), "package",
+                   F.col("r_name").isin("AFRICA", "ASIA").alias("include_unexported")))
+    parts = (B.table(spark, sf, "part").select(F.concat(F.lit("p"), F.lower("p_type")).alias("req_id"),
+                                               F.concat(F.lit("example.com/parts/"), F.lower("p_type"))
+                                               .alias("package"),
+                                               F.lit(False).alias("include_unexported")).distinct())
+    miss = r.select(_k("r", "r_regionkey").alias("req_id"), F.concat(F.lit("example.com/"), region).alias("package"),
+                    F.lit(False).alias("include_unexported"))
+    return nat.unionByName(parts).unionByName(miss).withColumn("include_bodies", F.lit(bodies))
+
+
+def _pkg_sql(bodies: bool) -> str:
+    b = "true" if bodies else "false"
+    return _symbols_sql(f"""
+preq AS (
+  SELECT 'n' || CAST(p.nationkey AS VARCHAR) AS req_id, p.package AS q, r.r_name IN ('AFRICA', 'ASIA') AS inc_unexp
+  FROM npk p JOIN nation n ON n.n_nationkey = p.nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
+  UNION ALL SELECT DISTINCT 'p' || lower(p_type), 'example.com/parts/' || lower(p_type), false FROM part
+  UNION ALL SELECT 'r' || CAST(r_regionkey AS VARCHAR), 'example.com/' || replace(lower(r_name), ' ', '_'), false
+  FROM region),
+hit0 AS (SELECT r.req_id, r.inc_unexp, {b} AS inc_bodies, s.* FROM preq r JOIN sec s ON s.package = r.q)""",
+                        with_bad=True)
+
+
+@query("package_symbols", _pkg_sql(True))
+def q_package_symbols(spark, sf):
+    """L4 + F1-F3 + L9 with bodies; methods ride along with their types."""
+    return lookup.get_package_symbols(B.tpch_catalog(spark, sf), _pkg_requests(spark, sf, True))
+
+
+@query("package_symbols_no_bodies", _pkg_sql(False))
+def q_package_symbols_no_bodies(spark, sf):
+    """L4 + F4: function bodies cleared."""
+    return lookup.get_package_symbols(B.tpch_catalog(spark, sf), _pkg_requests(spark, sf, False))
+
+
+@query("file_symbols_suffix", _symbols_sql("""
+freq AS (
+  SELECT DISTINCT lower(n.n_name) || '/' || lower(c.c_mktsegment) || '.go' AS q
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  UNION SELECT DISTINCT lower(replace(p_brand, '#', '_')) || '.go' FROM part
+  UNION SELECT 'no/such/' || lower(n_name) || '.go' FROM nation),
+hit0 AS (SELECT r.q AS req_id, true AS inc_unexp, false AS inc_bodies, s.*
+         FROM freq r JOIN sec s ON ends_with(s.file, '/' || r.q))""", with_bad=False))
+def q_file_symbols_suffix(spark, sf):
+    """L5 + F8 + U3: relative paths match by '/'-suffix, across packages."""
+    c = B.table(spark, sf, "customer")
+    n = B.table(spark, sf, "nation")
+    p = B.table(spark, sf, "part")
+    q = (c.join(n, c.c_nationkey == n.n_nationkey)
+         .select(F.concat(F.lower("n_name"), F.lit("/"), F.lower("c_mktsegment"), F.lit(".go")).alias("file"))
+         .unionByName(p.select(F.concat(F.lower(F.regexp_replace("p_brand", "#", "_")), F.lit(".go")).alias("file")))
+         .unionByName(n.select(F.concat(F.lit("no/such/"), F.lower("n_name"), F.lit(".go")).alias("file")))
+         .distinct())
+    reqs = q.select(F.col("file").alias("req_id"), "file", F.lit(True).alias("include_unexported"),
+                    F.lit(False).alias("include_bodies"))
+    return lookup.get_file_symbols(B.tpch_catalog(spark, sf), reqs)
+
+
+@query("file_symbols_absolute", _symbols_sql("""
+freq AS (
+  SELECT DISTINCT file AS q FROM st
+  UNION SELECT '/src/' || replace(lower(r.r_name), ' ', '_') || '/' || lower(n.n_name) || '/none.go'
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
+hit0 AS (SELECT r.q AS req_id, false AS inc_unexp, true AS inc_bodies, s.*
+         FROM freq r JOIN sec s ON s.file = r.q)""", with_bad=False))
+def q_file_symbols_absolute(spark, sf):
+    """L5 with absolute paths: exact equality, misses give no rows."""
+    cat = B.tpch_catalog(spark, sf)
+    npk = B.nation_packages(spark, sf)
+    sup = B.struct_types(spark, sf, npk).select("file")
+    none = npk.select(F.concat(F.col("dir"), F.lit("/none.go")).alias("file"))
+    reqs = (sup.unionByName(none).distinct()
+            .select(F.col("file").alias("req_id"), "file", F.lit(False).alias("include_unexported"),
+                    F.lit(True).alias("include_bodies")))
+    return lookup.get_file_symbols(cat, reqs)
+
+
+# ------------------------------------------------------------- get_function
+
+@query("get_function_status", with_catalog("""
+SELECT g.req_id,
+       CASE WHEN p.package IS NULL THEN 'package_not_found'
+            WHEN g.is_method AND t.name IS NULL THEN 'type_not_found'
+            WHEN g.is_method AND m.name IS NULL THEN 'method_not_found'
+            WHEN NOT g.is_method AND f.name IS NULL THEN 'function_not_found'
+            ELSE 'ok' END AS status,
+       CASE WHEN m.name IS NOT NULL THEN g.tail WHEN f.name IS NOT NULL THEN g.q_name END AS name,
+       CASE WHEN m.name IS NOT NULL OR f.name IS NOT NULL THEN g.q_pkg END AS package,
+       m.receiver,
+       coalesce(m.signature, f.signature) AS signature,
+       CASE WHEN m.name IS NOT NULL OR f.name IS NOT NULL THEN coalesce(m.is_promoted, false) END AS is_promoted,
+       f.doc, f.body,
+       coalesce(m.file, f.file) AS file, coalesce(m.line, f.line) AS line
+FROM g
+LEFT JOIN pk p ON p.package = g.q_pkg
+LEFT JOIN (SELECT DISTINCT package, name FROM ty) t ON g.is_method AND t.package = g.q_pkg AND t.name = g.head
+LEFT JOIN me m ON g.is_method AND t.name IS NOT NULL AND p.package IS NOT NULL
+                  AND m.package = g.q_pkg AND m.type_name = g.head AND m.name = g.tail
+LEFT JOIN fn f ON NOT g.is_method AND p.package IS NOT NULL AND f.package = g.q_pkg AND f.name = g.q_name""",
+                                           """
+greq0 AS (
+  SELECT DISTINCT
+         CASE WHEN l.l_linenumber = 7 THEN 'example.com/nowhere' ELSE st.package END AS q_pkg,
+         CASE l.l_returnflag WHEN 'A' THEN 'Supplier' || CAST(l.l_suppkey AS VARCHAR) || '.Part' || CAST(l.l_partkey AS VARCHAR)
+                             WHEN 'R' THEN 'Supplier' || CAST(l.l_suppkey AS VARCHAR) || '.Part' || CAST(l.l_orderkey AS VARCHAR)
+                             ELSE 'Customer' || CAST(l.l_orderkey AS VARCHAR) END AS q_name
+  FROM lineitem l JOIN st ON l.l_suppkey = st.suppkey),
+greq AS (SELECT q_pkg || '#' || q_name AS req_id, q_pkg, q_name FROM greq0),
+g AS (
+  SELECT req_id, q_pkg, q_name, instr(q_name, '.') > 0 AS is_method,
+         CASE WHEN instr(q_name, '.') > 0 THEN substr(q_name, 1, instr(q_name, '.') - 1) ELSE q_name END AS head,
+         CASE WHEN instr(q_name, '.') > 0 THEN substr(q_name, instr(q_name, '.') + 1) END AS tail
+  FROM greq)"""))
+def q_get_function_status(spark, sf):
+    """L2 + F12 + O3: one request per distinct question the line items ask.
+
+    ok / package / type / method / function misses; identical questions are
+    asked once (the line items' own keys are not unique).
+    """
+    cat = B.tpch_catalog(spark, sf)
+    li = B.table(spark, sf, "lineitem")
+    npk = B.nation_packages(spark, sf)
+    st = B.struct_types(spark, sf, npk).select("suppkey", "package")
+    flag = F.col("l_returnflag")
+    name = (F.when(flag == "A", F.concat(_k("Supplier", "l_suppkey"), _k(".Part", "l_partkey")))
+            .when(flag == "R", F.concat(_k("Supplier", "l_suppkey"), _k(".Part", "l_orderkey")))
+            .otherwise(_k("Customer", "l_orderkey")))
+    reqs = (li.join(st, li.l_suppkey == st.suppkey)
+            .select(F.when(F.col("l_linenumber") == 7, F.lit("example.com/nowhere"))
+                    .otherwise(F.col("package")).alias("package"),
+                    name.alias("name"))
+            .distinct()
+            .withColumn("req_id", F.concat_ws("#", "package", "name")))
+    return lookup.get_function(cat, reqs)
+
+
+# ------------------------------------------------------------------ get_type
+
+@query("get_type_members", with_catalog("""
+SELECT r.req_id,
+       CASE WHEN p.package IS NULL THEN 'package_not_found' WHEN t.name IS NULL THEN 'type_not_found'
+            ELSE 'ok' END AS status,
+       t.name, t.kind, coalesce(m.n, 0) AS n_methods, m.names AS method_names
+FROM treq r
+LEFT JOIN pk p ON p.package = r.q_pkg
+LEFT JOIN ty t ON t.package = r.q_pkg AND t.name = r.q_name
+LEFT JOIN (SELECT package, type_name, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
+           FROM me GROUP BY ALL) m ON t.name IS NOT NULL AND m.package = t.package AND m.type_name = t.name""",
+                                        """
+treq AS (
+  SELECT 's' || CAST(s.s_suppkey AS VARCHAR) AS req_id, p.package AS q_pkg,
+         'Supplier' || CAST(s.s_suppkey AS VARCHAR) AS q_name
+  FROM supplier s JOIN npk p ON s.s_nationkey = p.nationkey
+  UNION ALL SELECT 'o' || CAST(orderkey AS VARCHAR), package, name FROM it
+  UNION ALL SELECT 'n' || CAST(nationkey AS VARCHAR), package, 'NoSuchType' FROM npk
+  UNION ALL SELECT 'r' || CAST(r_regionkey AS VARCHAR), 'example.com/' || replace(lower(r_name), ' ', '_'), 'Order1'
+  FROM region)"""))
+def q_get_type_members(spark, sf):
+    """L3 + A2 + O2: each type with its sorted method list (as text)."""
+    cat = B.tpch_catalog(spark, sf)
+    npk = B.nation_packages(spark, sf)
+    s = B.table(spark, sf, "supplier")
+    r = B.table(spark, sf, "region")
+    it = cat.types.where(F.col("kind") == "interface")
+    reqs = (s.join(npk, s.s_nationkey == npk.nationkey)
+            .select(_k("s", "s_suppkey").alias("req_id"), "package", _k("Supplier", "s_suppkey").alias("name"))
+            .unionByName(it.select(_k("o", "line").alias("req_id"), "package", "name"))
+            .unionByName(npk.select(_k("n", "nationkey").alias("req_id"), "package",
+                                    F.lit("NoSuchType").alias("name")))
+            .unionByName(r.select(_k("r", "r_regionkey").alias("req_id"),
+                                  F.concat(F.lit("example.com/"),
+                                           F.regexp_replace(F.lower("r_name"), " ", "_")).alias("package"),
+                                  F.lit("Order1").alias("name"))))
+    t = lookup.get_type(cat, reqs)
+    return t.select("req_id", "status", "name", "kind",
+                    F.coalesce(F.size("methods"), F.lit(0)).cast("long").alias("n_methods"),
+                    F.array_join(F.transform("methods", lambda m: m["name"]), ",").alias("method_names"))
