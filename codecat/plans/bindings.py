@@ -188,3 +188,31 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"),
         F.concat(F.col("source"), F.lit("/"), F.col("lang")).alias("package"),
         "doc_id", F.col("text").alias("content"))
+
+
+def conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run-log rows from conversations, one per conversation.
+
+    run = conv_id div 2 and arm = baseline / index alternately, so each run
+    pairs two sessions as the benchmark interleaves them.  Token counts are
+    text bytes: user -> input, assistant -> output, system -> cache read,
+    the opening turn -> cache creation.  A user turn over the 2,048-byte
+    argument cap counts as a permission denial.  Cost is priced per token.
+    """
+    c = table(spark, sf_dir, "conversations")
+    b = F.octet_length("text").cast("long")
+    role = F.col("role")
+    runs = (c.groupBy("conv_id")
+            .agg(F.coalesce(F.sum(F.when(role == "user", b)), F.lit(0)).cast("long").alias("input"),
+                 F.coalesce(F.sum(F.when(role == "assistant", b)), F.lit(0)).cast("long").alias("output"),
+                 F.coalesce(F.sum(F.when(role == "system", b)), F.lit(0)).cast("long").alias("cache_read"),
+                 F.min_by(b, F.col("turn")).alias("cache_creation"),
+                 F.sort_array(F.collect_list(F.when((role == "user") & (b > 2048), F.col("turn").cast("string"))))
+                 .alias("denied_turns")))
+    cost = (F.col("input") * 3.0 + F.col("output") * 15.0 + F.col("cache_read") * 0.3
+            + F.col("cache_creation") * 3.75) / 1000000.0
+    return runs.select(
+        "conv_id",
+        F.when(F.pmod("conv_id", F.lit(2)) == 0, F.lit("baseline")).otherwise(F.lit("index")).alias("arm"),
+        F.expr("conv_id div 2").alias("run"),
+        "input", "output", "cache_read", "cache_creation", cost.alias("cost"), "denied_turns")

@@ -501,3 +501,173 @@ def q_get_type_members(spark, sf):
     return t.select("req_id", "status", "name", "kind",
                     F.coalesce(F.size("methods"), F.lit(0)).cast("long").alias("n_methods"),
                     F.array_join(F.transform("methods", lambda m: m["name"]), ",").alias("method_names"))
+
+
+# ---------------------------------------------------------------- run logs
+
+from codecat.operators import runstats as RS  # noqa: E402
+from codecat.sources import jsonio  # noqa: E402
+
+_RUNS = """
+runs AS (
+  SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'baseline' ELSE 'index' END AS arm, conv_id // 2 AS run,
+         input, output, cache_read, cache_creation,
+         (input::DOUBLE * 3.0::DOUBLE + output::DOUBLE * 15.0::DOUBLE + cache_read::DOUBLE * 0.3::DOUBLE
+          + cache_creation::DOUBLE * 3.75::DOUBLE) / 1000000.0::DOUBLE AS cost,
+         denials
+  FROM (SELECT conv_id,
+               coalesce(sum(strlen(text)) FILTER (WHERE role = 'user'), 0)::BIGINT AS input,
+               coalesce(sum(strlen(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS output,
+               coalesce(sum(strlen(text)) FILTER (WHERE role = 'system'), 0)::BIGINT AS cache_read,
+               arg_min(strlen(text), turn)::BIGINT AS cache_creation,
+               count(*) FILTER (WHERE role = 'user' AND strlen(text) > 2048) AS denials
+        FROM conversations GROUP BY conv_id)),
+eff AS (
+  SELECT *, floor(input::DOUBLE + output::DOUBLE + cache_read::DOUBLE * 0.1::DOUBLE
+                  + cache_creation::DOUBLE * 1.25::DOUBLE)::BIGINT AS eff
+  FROM runs),
+stats AS (
+  SELECT arm, count(*) AS n, round(avg(eff), 1) AS mean_eff, round(coalesce(stddev_samp(eff), 0), 1) AS sd_eff,
+         round(avg(cost), 4) AS mean_cost, round(coalesce(stddev_samp(cost), 0), 4) AS sd_cost,
+         round(coalesce(stddev_samp(eff), 0) / avg(eff), 4) AS cv_eff
+  FROM eff GROUP BY arm)"""
+
+
+def _run_logs(spark, sf):
+    """Conversation runs written as run-log JSON (S6) and parsed back."""
+    runs = B.conversation_runs(spark, sf)
+    usage = F.struct(*[F.nullif(F.col(c), F.lit(0)).alias(k) for c, k in [
+        ("input", "input_tokens"), ("output", "output_tokens"), ("cache_read", "cache_read_input_tokens"),
+        ("cache_creation", "cache_creation_input_tokens")]])
+    logs = runs.select("conv_id", "arm", "run",
+                       F.to_json(F.struct(usage.alias("usage"), F.col("cost").alias("total_cost_usd"),
+                                          F.col("denied_turns").alias("permission_denials"))).alias("json"))
+    return RS.parse_run_logs(logs, "json").drop("json")
+
+
+@query("run_tokens", with_catalog("""
+SELECT conv_id, arm, run, 'ok' AS status, input, output, cache_read, cache_creation, cost, denials FROM runs""",
+                                  _RUNS))
+def q_run_tokens(spark, sf):
+    """S6 -> S7 round trip: omitted (zero) usage keys read back as 0 (B1)."""
+    return _run_logs(spark, sf)
+
+
+@query("effective_tokens", with_catalog("""
+SELECT conv_id, arm, run, eff, output = 0 AS zero_output FROM eff""", _RUNS))
+def q_effective_tokens(spark, sf):
+    """B2 + B5 + B7 per run."""
+    r = _run_logs(spark, sf)
+    return r.select("conv_id", "arm", "run", RS.effective_tokens("input", "output", "cache_read",
+                                                                 "cache_creation").alias("eff"),
+                    RS.zero_output("output").alias("zero_output"))
+
+
+def _stats(spark, sf):
+    r = _run_logs(spark, sf)
+    r = r.withColumn("eff", RS.effective_tokens("input", "output", "cache_read", "cache_creation"))
+    return RS.arm_stats(r)
+
+
+@query("mean_sd", with_catalog("SELECT arm, n, mean_eff, sd_eff, mean_cost, sd_cost, cv_eff FROM stats", _RUNS))
+def q_mean_sd(spark, sf):
+    """B3 + B8 per arm."""
+    return _stats(spark, sf)
+
+
+@query("compare_arms", with_catalog("""
+SELECT g.mean_eff AS baseline_mean, l.mean_eff AS index_mean,
+       trunc(g.mean_eff - l.mean_eff)::BIGINT AS diff,
+       CASE WHEN trunc(g.mean_eff - l.mean_eff) > 0
+              THEN trunc(trunc(g.mean_eff - l.mean_eff) * 100 / (g.mean_eff + 1))::BIGINT
+            WHEN trunc(g.mean_eff - l.mean_eff) < 0
+              THEN trunc(-trunc(g.mean_eff - l.mean_eff) * 100 / (l.mean_eff + 1))::BIGINT
+            ELSE 0 END AS pct,
+       CASE WHEN trunc(g.mean_eff - l.mean_eff) > 0 THEN 'index'
+            WHEN trunc(g.mean_eff - l.mean_eff) < 0 THEN 'baseline' ELSE 'tie' END AS winner
+FROM stats g, stats l WHERE g.arm = 'baseline' AND l.arm = 'index'""", _RUNS))
+def q_compare_arms(spark, sf):
+    """One row comparing the arms."""
+    return RS.compare_arms(_stats(spark, sf), "baseline", "index")
+
+
+@query("denial_gate", """
+SELECT user_id, count(*) AS n_runs, count(*) FILTER (WHERE event_type = 'error') AS n_denied,
+       CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'invalid' ELSE 'valid' END AS status
+FROM events GROUP BY user_id""")
+def q_denial_gate(spark, sf):
+    """B6 over events: a user's benchmark with any error run is invalid."""
+    ev = B.table(spark, sf, "events").select(
+        "user_id", F.when(F.col("event_type") == "error", F.lit(1)).otherwise(F.lit(0)).alias("denials"))
+    return RS.denial_gate(ev, ["user_id"])
+
+
+@query("rejects", """
+SELECT 'conversations' AS source, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id,
+       CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' ELSE 'invalid_json' END AS reason
+FROM conversations WHERE text IS NULL OR NOT json_valid(text) OR json_type(text) <> 'OBJECT'
+UNION ALL
+SELECT 'events', CAST(event_id AS VARCHAR),
+       CASE WHEN props IS NULL OR trim(props) = '' THEN 'empty' ELSE 'invalid_json' END
+FROM events WHERE props IS NULL OR NOT json_valid(props) OR json_type(props) <> 'OBJECT'""")
+def q_rejects(spark, sf):
+    """Texts offered as run logs that are empty or not a JSON object."""
+    cv = B.table(spark, sf, "conversations").select(
+        F.lit("conversations").alias("source"),
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("text").alias("json"))
+    ev = B.table(spark, sf, "events").select(F.lit("events").alias("source"),
+                                             F.col("event_id").cast("string").alias("id"),
+                                             F.col("props").alias("json"))
+    p = RS.parse_run_logs(cv.unionByName(ev), "json")
+    return p.where(F.col("status") != "ok").select("source", "id", F.col("status").alias("reason"))
+
+
+# ------------------------------------------------------ paths, gate, JSON sink
+
+from codecat.functions import paths as P  # noqa: E402
+from codecat.functions.gate import request_status  # noqa: E402
+
+
+@query("under_root", """
+SELECT page_id, path,
+       CASE WHEN NOT contains(path, '/') THEN '.'
+            WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/'
+            ELSE regexp_replace(path, '/[^/]*$', '') END AS dir,
+       starts_with(path, '/') AS is_abs,
+       coalesce(path = '/en' OR (starts_with(path, '/en/') AND NOT starts_with(substr(path, 5), '..')), false)
+         AS under_root
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)""")
+def q_under_root(spark, sf):
+    """S2 + X6 + X7 on the path part of every page URL, root ``/en``."""
+    pg = B.table(spark, sf, "pages").select(
+        "page_id", F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    return pg.select("page_id", "path", P.dirname("path").alias("dir"), P.is_absolute("path").alias("is_abs"),
+                     P.under_root(F.col("path"), F.lit("/en")).alias("under_root"))
+
+
+@query("input_gate", """
+SELECT doc_id, strlen(text) AS n_bytes,
+       CASE WHEN strlen(text) > 2048 OR strlen(lang) > 2048 OR strlen(source) > 2048 THEN 'argument_too_long'
+            ELSE 'ok' END AS status
+FROM documents""")
+def q_input_gate(spark, sf):
+    """every document offered as a string argument; > 2,048 bytes is rejected."""
+    d = B.table(spark, sf, "documents").select(F.col("doc_id").alias("req_id"), "text", "lang", "source")
+    st = request_status(d, [])
+    return d.select(F.col("req_id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"),
+                    F.coalesce(st, F.lit("ok")).alias("status"))
+
+
+@query("to_json_rows", with_catalog("""
+SELECT line AS id,
+       json_object('name', name, 'package', package, 'signature', signature, 'doc', doc,
+                   'location', json_object('file', file, 'line', line))::VARCHAR AS json
+FROM fn"""))
+def q_to_json_rows(spark, sf):
+    """S6 + X11: FuncInfo JSON with omitempty (NULL receiver and the body absent)."""
+    cat = B.tpch_catalog(spark, sf)
+    f = cat.funcs
+    js = jsonio.omitempty_struct(f, ["name", "package", "receiver", "signature", "doc", "location"],
+                                 omit={"receiver", "doc"}, nested={"location": ["file", "line"]})
+    return f.select(F.col("line").alias("id"), F.to_json(js).alias("json"))
