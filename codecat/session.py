@@ -59,3 +59,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for a written table."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder (reliable, eager).
+
+    Used at stage boundaries of multi-job builds: later jobs read the
+    checkpoint instead of recomputing (and re-planning) the upstream plan,
+    and a lost executor recomputes nothing before the boundary.  The
+    checkpoint keeps the plan's output partitioning, so a following
+    aggregation on the same keys does not shuffle again.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
