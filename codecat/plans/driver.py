@@ -671,3 +671,296 @@ def q_to_json_rows(spark, sf):
     js = jsonio.omitempty_struct(f, ["name", "package", "receiver", "signature", "doc", "location"],
                                  omit={"receiver", "doc"}, nested={"location": ["file", "line"]})
     return f.select(F.col("line").alias("id"), F.to_json(js).alias("json"))
+
+
+# ------------------------------------------------------ extraction round trips
+
+from codecat.plans import render as RD  # noqa: E402
+from codecat.plans.catalog import build_catalog  # noqa: E402
+
+
+def _extracted(spark, sf, parts):
+    cat, _ = build_catalog(spark, RD.source_tree(spark, sf, parts), closure=False)
+    return cat
+
+
+_CU = """
+cu AS (
+  SELECT p.package, c.c_custkey AS key,
+         CASE WHEN c.c_acctbal < 0 THEN 'customer' ELSE 'Customer' END || CAST(c.c_custkey AS VARCHAR) AS name,
+         c.c_acctbal < 0 AS unexp, lower(c.c_mktsegment) AS seg, c.c_mktsegment AS segu,
+         p.dir || '/' || lower(c.c_mktsegment) || '_' || CAST(c.c_custkey // 512 AS VARCHAR) || '.go' AS file
+  FROM customer c JOIN npk p ON c.c_nationkey = p.nationkey),
+cupos AS (
+  SELECT *, 3 + coalesce(sum(CASE WHEN unexp THEN 3 ELSE 5 END) OVER (
+              PARTITION BY file ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS doc_line
+  FROM cu)"""
+
+
+@query("extract_funcs", with_catalog("""
+SELECT package, name, 'func ' || name || '(segment ' || package || '.Segment) float64' AS signature,
+       name || ' serves the ' || seg || ' segment.' AS doc,
+       CASE WHEN unexp THEN '{' || chr(10) || chr(9) || 'return 0' || chr(10) || '}'
+            ELSE '{' || chr(10) || chr(9) || 'return balance("' || segu || '")' || chr(10) || '}' END AS body,
+       file, (doc_line + 1)::BIGINT AS line
+FROM cupos""", _CU))
+def q_extract_funcs(spark, sf):
+    """Functions read back from rendered Go files."""
+    cat = _extracted(spark, sf, ("customers",))
+    return cat.funcs.select("package", "name", "signature", "doc", "body", "file",
+                            F.col("line").cast("long").alias("line"))
+
+
+_TY = """
+su AS (
+  SELECT p.package, s.s_suppkey AS key,
+         CASE WHEN s.s_acctbal < 0 THEN 'supplier' ELSE 'Supplier' END || CAST(s.s_suppkey AS VARCHAR) AS name,
+         s.s_acctbal < 0 AS unexp,
+         p.dir || '/suppliers_' || CAST(s.s_suppkey // 512 AS VARCHAR) || '.go' AS file
+  FROM supplier s JOIN npk p ON s.s_nationkey = p.nationkey),
+supos AS (
+  SELECT *, 3 + coalesce(sum(CASE WHEN unexp THEN 3 ELSE 8 END) OVER (
+              PARTITION BY file ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS doc_line
+  FROM su),
+np AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_orderkey),
+orr AS (
+  SELECT it.package, it.orderkey AS key, it.name, coalesce(np.n, 0) AS n_parts,
+         replace(it.file, '/orders_' || lower(o.o_orderstatus) || '.go',
+                 '/orders_' || CAST(it.orderkey // 512 AS VARCHAR) || '.go') AS file
+  FROM it JOIN orders o ON o.o_orderkey = it.orderkey LEFT JOIN np ON np.l_orderkey = it.orderkey),
+orpos AS (
+  SELECT *, 3 + coalesce(sum(CASE WHEN n_parts = 0 THEN 3 ELSE 4 + n_parts END) OVER (
+              PARTITION BY file ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS doc_line
+  FROM orr)"""
+
+
+@query("extract_types", with_catalog("""
+SELECT package, name, 'struct' AS kind, name || ' supplies parts.' AS doc, file, (doc_line + 1)::BIGINT AS line
+FROM supos
+UNION ALL
+SELECT package, name, 'interface', name || ' lists the parts of one order.', file, (doc_line + 1)::BIGINT FROM orpos
+UNION ALL
+SELECT package, 'Segment', 'other', 'Segment names a market segment.', dir || '/segment.go', 4 FROM npk
+UNION ALL
+SELECT package, 'Label', 'alias', 'Label is another name for Segment.', dir || '/segment.go', 7 FROM npk""", _TY))
+def q_extract_types(spark, sf):
+    """Struct, interface and other types read back with kinds and docs."""
+    cat = _extracted(spark, sf, ("suppliers", "orders"))
+    return cat.types.select("package", "name", "kind", "doc", "file", F.col("line").cast("long").alias("line"))
+
+
+@query("extract_fields", with_catalog("""
+SELECT package, name AS type_name, f.ordinal, f.fname AS name, f.ftype AS type, f.tag, f.comment
+FROM su, (VALUES (1, 'Name', 'string', 'json:"name"', 'Name is the registered name.'),
+                 (2, 'Nation', 'int', NULL, 'where it sits'),
+                 (3, 'Region', 'int', NULL, 'where it sits'),
+                 (4, 'balance', 'float64', NULL, NULL)) AS f(ordinal, fname, ftype, tag, comment)
+WHERE NOT su.unexp""", _TY))
+def q_extract_fields(spark, sf):
+    """Struct fields with tags, doc / trailing comments, multi-name specs."""
+    cat = _extracted(spark, sf, ("suppliers",))
+    return cat.fields.select("package", "type_name", "ordinal", "name", "type", "tag", "comment")
+
+
+@query("extract_iface_methods", with_catalog("""
+SELECT o.package, o.name AS type_name, 'Part' || CAST(m.l_partkey AS VARCHAR) AS name,
+       o.package || '.' || o.name AS receiver,
+       'func (' || o.package || '.' || o.name || ') Part' || CAST(m.l_partkey AS VARCHAR) || '() int' AS signature,
+       '()(int)' AS sig_key,
+       (o.doc_line + 2 + row_number() OVER (PARTITION BY o.key ORDER BY m.l_partkey) - 1)::BIGINT AS line
+FROM orpos o JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) m ON m.l_orderkey = o.key""", _TY))
+def q_extract_iface_methods(spark, sf):
+    """E8 + E3/E4: interface methods with receiver, signature and sig_key."""
+    cat = _extracted(spark, sf, ("orders",))
+    return cat.methods.select("package", "type_name", "name", "receiver", "signature", "sig_key",
+                              F.col("line").cast("long").alias("line"))
+
+
+_PV = f"""
+pa AS (
+  SELECT 'example.com/parts/' || lower(p_type) AS package, p_partkey AS key,
+         {CAMEL} || CAST(p_partkey AS VARCHAR) AS name, p_name, p_size, p_size > 25 AS is_const, p_brand,
+         '/src/parts/' || lower(p_type) || '/' || lower(replace(p_brand, '#', '_')) || '_'
+           || CAST(p_partkey // 512 AS VARCHAR) || '.go' AS file
+  FROM part),
+pn AS (
+  SELECT *, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS n,
+         count(*) OVER (PARTITION BY file, is_const) AS n_specs,
+         sum(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY file, is_const ORDER BY key
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM pa),
+cg AS (SELECT file, 4 + sum(n) AS lines FROM pn WHERE is_const GROUP BY file)"""
+
+
+@query("extract_vars", with_catalog("""
+SELECT pn.package, pn.name, CASE WHEN is_const THEN 'untyped int' ELSE 'int' END AS type, is_const,
+       CASE WHEN p_size % 2 = 0 THEN name || ' is a ' || p_name || '.'
+            WHEN n_specs = 1 THEN 'Parts of ' || p_brand || '.' END AS doc,
+       pn.file,
+       (CASE WHEN is_const THEN 4 + cum ELSE 4 + coalesce(cg.lines, 0) + cum END)::BIGINT AS line
+FROM pn LEFT JOIN cg ON cg.file = pn.file""", _PV))
+def q_extract_vars(spark, sf):
+    """Grouped const and var specs, literal typing, spec/group docs."""
+    cat = _extracted(spark, sf, ("parts",))
+    return cat.vars.select("package", "name", "type", "is_const", "doc", "file",
+                           F.col("line").cast("long").alias("line"))
+
+
+# ---------------------------------------------------------------- closures
+
+from codecat.operators import closure as CL  # noqa: E402
+
+
+def _supplier_graph(spark, sf):
+    cat = B.tpch_catalog(spark, sf)
+    npk = B.nation_packages(spark, sf)
+    st = B.struct_types(spark, sf, npk)
+    key = F.concat("package", F.lit("."), "name")
+    types = st.select(key.alias("key"), "package", "name", "kind", "suppkey")
+    s = B.table(spark, sf, "supplier").select("s_suppkey")
+    edges = (s.where(F.col("s_suppkey") > 0)
+             .select(F.col("s_suppkey").alias("src_k"), F.expr("s_suppkey div 3").alias("d3"),
+                     F.expr("s_suppkey div 4").alias("d4"))
+             .select("src_k", F.explode(F.array(
+                 F.struct(F.col("d3").alias("dst_k"), F.lit(False).alias("is_pointer")),
+                 F.struct(F.col("d4").alias("dst_k"), (F.col("d4") != F.col("d3")).alias("is_pointer")))).alias("e"))
+             .select("src_k", "e.dst_k", "e.is_pointer").distinct())
+    k = types.select("suppkey", "key")
+    edges = (edges.join(k.withColumnRenamed("suppkey", "src_k").withColumnRenamed("key", "src"), "src_k")
+             .join(k.withColumnRenamed("suppkey", "dst_k").withColumnRenamed("key", "dst"), "dst_k")
+             .select("src", "dst", "is_pointer"))
+    methods = cat.methods.where(F.col("receiver").contains(".Supplier") | F.col("receiver").contains(".supplier"))
+    methods = methods.join(types.select("package", F.col("name").alias("type_name")), ["package", "type_name"],
+                           "left_semi")
+    m = methods.select(F.concat("package", F.lit("."), "type_name").alias("key"), "name", "ptr_receiver",
+                       "receiver", "signature")
+    fields = edges.join(types.select(F.col("key").alias("dst"), F.col("name").alias("fname")), "dst").select(
+        F.col("src").alias("key"), F.col("fname").alias("name"))
+    return types, m, fields, edges
+
+
+_SUPG = """
+sedges AS (
+  SELECT DISTINCT s_suppkey AS src, s_suppkey // 3 AS dst, false AS p FROM supplier WHERE s_suppkey > 0
+  UNION
+  SELECT s_suppkey, s_suppkey // 4, s_suppkey // 4 <> s_suppkey // 3 FROM supplier WHERE s_suppkey > 0),
+paths(root, node, depth, via_ptr) AS (
+  SELECT s_suppkey, s_suppkey, 0, false FROM supplier
+  UNION ALL
+  SELECT p.root, e.dst, p.depth + 1, p.via_ptr OR e.p FROM paths p JOIN sedges e ON e.src = p.node),
+smk AS (SELECT st.suppkey, sm.name, sm.ptr_receiver FROM sm JOIN st ON st.package = sm.package AND st.name = sm.type_name),
+occ AS (
+  SELECT p.root, m.name, p.depth, count(*) AS n_paths, bool_or(p.via_ptr) AS via_ptr, bool_or(m.ptr_receiver) AS ptr
+  FROM paths p JOIN smk m ON m.suppkey = p.node GROUP BY p.root, m.name, p.depth),
+best AS (SELECT root, name, min(depth) AS d FROM occ GROUP BY root, name)"""
+
+
+@query("promoted_methods", with_catalog("""
+SELECT st.package, st.name AS type_name, o.name, o.depth, (o.ptr AND NOT o.via_ptr) AS ptr_receiver
+FROM occ o JOIN best b ON b.root = o.root AND b.name = o.name AND b.d = o.depth
+JOIN st ON st.suppkey = o.root
+WHERE o.depth > 0 AND o.n_paths = 1""", _SUPG).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_promoted_methods(spark, sf):
+    """Methods promoted through supplier embeds (k -> k div 3, *(k div 4))."""
+    types, m, fields, edges = _supplier_graph(spark, sf)
+    p = CL.promoted_methods(spark, types, m, fields, edges)
+    return (p.join(types.select(F.col("key").alias("root"), "package", F.col("name").alias("type_name")), "root")
+            .select("package", "type_name", "name", "depth", (~F.col("in_value_set")).alias("ptr_receiver")))
+
+
+_BUY = """
+buyer AS (
+  SELECT c.c_custkey AS ck, p.package, 'Buyer' || CAST(c.c_custkey AS VARCHAR) AS name
+  FROM customer c JOIN npk p ON c.c_nationkey = p.nationkey),
+firsto AS (SELECT o_custkey, min(o_orderkey) AS ok FROM orders GROUP BY o_custkey),
+bexp AS (
+  SELECT DISTINCT b.package, b.name, 'Part' || CAST(l.l_partkey AS VARCHAR) AS m
+  FROM buyer b JOIN firsto f ON f.o_custkey = b.ck JOIN lineitem l ON l.l_orderkey = f.ok),
+binh AS (
+  SELECT DISTINCT b.package, b.name, 'Part' || CAST(l.l_partkey AS VARCHAR) AS m
+  FROM buyer b JOIN orders o ON o.o_custkey = b.ck JOIN lineitem l ON l.l_orderkey = o.o_orderkey)"""
+
+
+def _buyer_graph(spark, sf):
+    """Buyer<c> interfaces: explicit = parts of the first order, embeds = every order of c."""
+    cat = B.tpch_catalog(spark, sf)
+    npk = B.nation_packages(spark, sf)
+    c = B.table(spark, sf, "customer")
+    o = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    buyer = c.join(npk, c.c_nationkey == npk.nationkey).select(
+        F.col("c_custkey").alias("ck"), "package", _k("Buyer", "c_custkey").alias("name"))
+    bkey = F.concat("package", F.lit("."), "name")
+    it = cat.types.where(F.col("kind") == "interface").select(
+        F.col("line").alias("o_orderkey"), F.concat("package", F.lit("."), "name").alias("dst"))
+    edges = (buyer.join(o, buyer.ck == o.o_custkey).join(it, "o_orderkey")
+             .select(bkey.alias("src"), "dst"))
+    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    iface_m = cat.methods.where(F.col("ptr_receiver") == F.lit(False)).join(
+        cat.types.where(F.col("kind") == "interface").select("package", F.col("name").alias("type_name")),
+        ["package", "type_name"], "left_semi")
+    order_m = iface_m.select(F.concat("package", F.lit("."), "type_name").alias("key"), "name", "receiver",
+                             "signature")
+    li = B.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    explicit_b = (buyer.join(first, buyer.ck == first.o_custkey)
+                  .join(li, F.col("o_orderkey") == li.l_orderkey)
+                  .select(bkey.alias("key"), _k("Part", "l_partkey").alias("name"),
+                          F.concat("package", F.lit("."), "name").alias("receiver"),
+                          F.lit(None).cast("string").alias("signature"))
+                  .dropDuplicates(["key", "name"]))
+    return buyer.select(bkey.alias("key"), "package", "name"), explicit_b, order_m, edges
+
+
+@query("interface_method_set", with_catalog("""
+SELECT package, name AS type_name, m AS name, false AS is_promoted FROM bexp
+UNION ALL
+SELECT i.package, i.name, i.m, true FROM binh i
+WHERE NOT EXISTS (SELECT 1 FROM bexp e WHERE e.package = i.package AND e.name = i.name AND e.m = i.m)""", _BUY))
+def q_interface_method_set(spark, sf):
+    """Buyer interfaces = own methods plus every embedded order's (explicit wins)."""
+    buyers, explicit_b, order_m, edges = _buyer_graph(spark, sf)
+    explicit_all = explicit_b.unionByName(order_m)
+    inh = CL.interface_method_sets(spark, buyers.select("key"), explicit_all, edges)
+    own = explicit_b.alias("e").join(buyers.alias("b"), F.col("e.key") == F.col("b.key")).select(
+        F.col("b.package").alias("package"), F.col("b.name").alias("type_name"), F.col("e.name").alias("name"),
+        F.lit(False).alias("is_promoted"))
+    got = inh.alias("i").join(buyers.alias("b"), F.col("i.root") == F.col("b.key")).select(
+        F.col("b.package").alias("package"), F.col("b.name").alias("type_name"), F.col("i.name").alias("name"),
+        F.lit(True).alias("is_promoted"))
+    return own.unionByName(got)
+
+
+# ------------------------------------------------------------ document lines
+
+from codecat.operators.extract import source_lines  # noqa: E402
+from codecat.functions.text import leading_identifier  # noqa: E402
+
+_DOC_LINES = """
+dl AS (
+  SELECT '/src/' || source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS file,
+         unnest(string_split(text, chr(10))) AS t,
+         unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ln
+  FROM documents),
+dli AS (
+  SELECT file, ln::INTEGER AS ln, regexp_replace(t, '\\r$', '') AS t,
+         nullif(regexp_extract(regexp_replace(t, '\\r$', ''), '^([\\p{L}_][\\p{L}\\p{N}_]*)', 1), '') AS ident
+  FROM dl)"""
+
+
+def _doc_lines(spark, sf):
+    lines = source_lines(B.document_files(spark, sf))
+    return lines.select("file", "ln", leading_identifier(F.col("text")).alias("ident"),
+                        F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query("source_lines", with_catalog("SELECT file, ln, ident, strlen(t)::BIGINT AS n_bytes FROM dli", _DOC_LINES))
+def q_source_lines(spark, sf):
+    """S1/E1/E18 on whole documents: every line numbered, with its leading identifier."""
+    return _doc_lines(spark, sf)
+
+
+@query("exported_symbols", with_catalog("""
+SELECT file, ln, ident FROM dli WHERE regexp_matches(ident, '^\\p{Lu}')""", _DOC_LINES))
+def q_exported_symbols(spark, sf):
+    """Line symbols whose name is exported (upper-case first rune)."""
+    d = _doc_lines(spark, sf).where(F.col("ident").isNotNull()).select("file", "ln", F.col("ident").alias("name"))
+    return lookup.filter_exported(d, False).select("file", "ln", F.col("name").alias("ident"))
