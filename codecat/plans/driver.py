@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 from codecat.operators import implement, lookup, summary
 from codecat.plans import bindings as B
 from codecat.plans.oracle import with_catalog
+from codecat.session import cut_lineage
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+def _cat(spark: SparkSession, sf: str, *tables: str):
+    """The bound catalogue with the tables a query reads materialised once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    return B.materialize(B.tpch_catalog(spark, sf), *tables, key=key)
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -36,7 +43,7 @@ FROM pk
 LEFT JOIN (SELECT package, count(*) AS n FROM fn GROUP BY package) f USING (package)
 LEFT JOIN (SELECT package, count(*) AS n FROM ty GROUP BY package) t USING (package)"""))
 def q_list_packages(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.list_packages(B.tpch_catalog(spark, sf))
+    return summary.list_packages(_cat(spark, sf, "packages", "funcs", "types"))
 
 
 @query("list_packages_prefix", with_catalog("""
@@ -47,7 +54,7 @@ LEFT JOIN (SELECT package, count(*) AS n FROM fn GROUP BY package) f USING (pack
 LEFT JOIN (SELECT package, count(*) AS n FROM ty GROUP BY package) t USING (package)
 WHERE starts_with(pk.package, 'example.com/a')"""))
 def q_list_packages_prefix(spark, sf):
-    return summary.list_packages(B.tpch_catalog(spark, sf), prefix="example.com/a")
+    return summary.list_packages(_cat(spark, sf, "packages", "funcs", "types"), prefix="example.com/a")
 
 
 # ------------------------------------------------------------ implementations
@@ -77,7 +84,7 @@ impl AS (SELECT c.req_id, c.package, c.type_name AS name,
 SELECT i.req_id, r.iname AS iface_name, i.package, i.name, 'struct' AS kind, st.file, st.line
 FROM impl i JOIN req r USING (req_id) JOIN st ON st.package = i.package AND st.name = i.name""", _DIVISION))
 def q_find_implementations(spark, sf):
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     r = implement.find_implementations(cat, _iface_requests(cat))
     return r.where(F.col("route").isin("value", "pointer")).select(
         "req_id", "iface_name", "package", "name", "kind", "file", "line")
@@ -87,7 +94,7 @@ def q_find_implementations(spark, sf):
 SELECT i.req_id, i.name, i.route FROM impl i""", _DIVISION))
 def q_implementations_via(spark, sf):
     """The route (value / pointer) of every implementor."""
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     r = implement.find_implementations(cat, _iface_requests(cat))
     return r.where(F.col("route").isin("value", "pointer")).select("req_id", "name", "route")
 
@@ -97,7 +104,7 @@ SELECT r.req_id, r.ipkg AS iface_package, r.iname AS iface_name, 'any_concrete'
 FROM req r WHERE r.req_id NOT IN (SELECT req_id FROM nreq)""", _DIVISION))
 def q_implementations_empty(spark, sf):
     """L6 empty branch: interfaces with no methods (orders without lines)."""
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     r = implement.find_implementations(cat, _iface_requests(cat))
     return r.where(F.col("route") == "any_concrete").select("req_id", "iface_package", "iface_name", "route")
 
@@ -145,10 +152,11 @@ sreq AS (
   UNION ALL SELECT 'n' || CAST(line AS VARCHAR), package || '/none', name FROM it)"""))
 def q_implementations_status(spark, sf):
     """Ordered checks, then the implementor count of each request."""
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     reqs = _status_requests(spark, sf, cat)
-    st = implement.interface_status(cat, reqs).select("req_id", "status")
-    n = (implement.find_implementations(cat, reqs).where(F.col("name").isNotNull())
+    full = cut_lineage(implement.interface_status(cat, reqs))
+    st = full.select("req_id", "status")
+    n = (implement.find_implementations(cat, reqs, status=full).where(F.col("name").isNotNull())
          .groupBy("req_id").agg(F.count(F.lit(1)).alias("n_implementors")))
     return (st.join(n, "req_id", "left")
             .select("req_id", "status", F.coalesce("n_implementors", F.lit(0)).alias("n_implementors")))
@@ -201,7 +209,7 @@ r0 AS (
   UNION ALL SELECT 'p' || CAST(p_partkey AS VARCHAR), {CAMEL} || CAST(p_partkey AS VARCHAR), NULL, 'exact' FROM part
   UNION ALL SELECT 'm' || CAST(p_partkey AS VARCHAR), 'Part' || CAST(p_partkey AS VARCHAR), NULL, 'exact' FROM part)"""))
 def q_find_symbol_exact(spark, sf):
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     o, p = B.table(spark, sf, "orders"), B.table(spark, sf, "part")
     reqs = (_req(o, _k("o", "o_orderkey"), _k("Customer", "o_custkey"), match=F.lit("exact"))
             .unionByName(_req(p, _k("p", "p_partkey"), F.concat(B.camel(F.col("p_name")),
@@ -220,7 +228,7 @@ r0 AS (
   SELECT DISTINCT q AS req_id, q, CAST(NULL AS VARCHAR) AS kind, 'prefix' AS match FROM (
     SELECT {CAMEL} AS q FROM part UNION ALL SELECT {_W1} FROM part))"""))
 def q_find_symbol_prefix(spark, sf):
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     p = B.table(spark, sf, "part")
     q = (p.select(B.camel(F.col("p_name")).alias("q"))
          .unionByName(p.select(F.initcap(F.substring_index("p_name", " ", 1)).alias("q"))).distinct())
@@ -232,7 +240,7 @@ r0 AS (
   SELECT DISTINCT q AS req_id, q, CAST(NULL AS VARCHAR) AS kind, 'contains' AS match FROM (
     SELECT upper({_W2}[1]) || {_W2}[2:] AS q FROM part UNION ALL SELECT {_W2}[2:] FROM part))"""))
 def q_find_symbol_contains(spark, sf):
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     p = B.table(spark, sf, "part")
     w2 = F.substring_index("p_name", " ", -1)
     q = (p.select(F.initcap(w2).alias("q"))
@@ -252,7 +260,7 @@ r0 AS (
   FROM part)"""))
 def q_find_symbol_kinds(spark, sf):
     """U1 + L1 + F5-F7 + F14: modes and kinds mixed in one batch."""
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     p = B.table(spark, sf, "part")
     t = F.col("p_type")
     name = (F.when(t == "LARGE", _k("Part", "p_partkey")).when(t == "MEDIUM", _k("Customer", "p_partkey"))
@@ -275,7 +283,7 @@ r0 AS (
   FROM orders)"""))
 def q_find_symbol_bad_mode(spark, sf):
     """Unknown modes, missing names, over-long names."""
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     o = B.table(spark, sf, "orders")
     name = (F.when(F.col("o_orderstatus") == "F", _k("Customer", "o_custkey"))
             .when(F.col("o_orderstatus") == "O", F.lit(None))
@@ -350,13 +358,13 @@ hit0 AS (SELECT r.req_id, r.inc_unexp, {b} AS inc_bodies, s.* FROM preq r JOIN s
 @query("package_symbols", _pkg_sql(True))
 def q_package_symbols(spark, sf):
     """L4 + F1-F3 + L9 with bodies; methods ride along with their types."""
-    return lookup.get_package_symbols(B.tpch_catalog(spark, sf), _pkg_requests(spark, sf, True))
+    return lookup.get_package_symbols(_cat(spark, sf, "packages", "funcs", "types", "methods", "vars"), _pkg_requests(spark, sf, True))
 
 
 @query("package_symbols_no_bodies", _pkg_sql(False))
 def q_package_symbols_no_bodies(spark, sf):
     """L4 + F4: function bodies cleared."""
-    return lookup.get_package_symbols(B.tpch_catalog(spark, sf), _pkg_requests(spark, sf, False))
+    return lookup.get_package_symbols(_cat(spark, sf, "packages", "funcs", "types", "methods", "vars"), _pkg_requests(spark, sf, False))
 
 
 @query("file_symbols_suffix", _symbols_sql("""
@@ -379,7 +387,7 @@ def q_file_symbols_suffix(spark, sf):
          .distinct())
     reqs = q.select(F.col("file").alias("req_id"), "file", F.lit(True).alias("include_unexported"),
                     F.lit(False).alias("include_bodies"))
-    return lookup.get_file_symbols(B.tpch_catalog(spark, sf), reqs)
+    return lookup.get_file_symbols(_cat(spark, sf, "funcs", "types", "methods", "vars"), reqs)
 
 
 @query("file_symbols_absolute", _symbols_sql("""
@@ -391,7 +399,7 @@ hit0 AS (SELECT r.q AS req_id, false AS inc_unexp, true AS inc_bodies, s.*
          FROM freq r JOIN sec s ON s.file = r.q)""", with_bad=False))
 def q_file_symbols_absolute(spark, sf):
     """L5 with absolute paths: exact equality, misses give no rows."""
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     npk = B.nation_packages(spark, sf)
     sup = B.struct_types(spark, sf, npk).select("file")
     none = npk.select(F.concat(F.col("dir"), F.lit("/none.go")).alias("file"))
@@ -443,7 +451,7 @@ def q_get_function_status(spark, sf):
     ok / package / type / method / function misses; identical questions are
     asked once (the line items' own keys are not unique).
     """
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     li = B.table(spark, sf, "lineitem")
     npk = B.nation_packages(spark, sf)
     st = B.struct_types(spark, sf, npk).select("suppkey", "package")
@@ -483,7 +491,7 @@ treq AS (
   FROM region)"""))
 def q_get_type_members(spark, sf):
     """L3 + A2 + O2: each type with its sorted method list (as text)."""
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     npk = B.nation_packages(spark, sf)
     s = B.table(spark, sf, "supplier")
     r = B.table(spark, sf, "region")
@@ -666,7 +674,7 @@ SELECT line AS id,
 FROM fn"""))
 def q_to_json_rows(spark, sf):
     """S6 + X11: FuncInfo JSON with omitempty (NULL receiver and the body absent)."""
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     f = cat.funcs
     js = jsonio.omitempty_struct(f, ["name", "package", "receiver", "signature", "doc", "location"],
                                  omit={"receiver", "doc"}, nested={"location": ["file", "line"]})
@@ -812,7 +820,7 @@ from codecat.operators import closure as CL  # noqa: E402
 
 
 def _supplier_graph(spark, sf):
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     npk = B.nation_packages(spark, sf)
     st = B.struct_types(spark, sf, npk)
     key = F.concat("package", F.lit("."), "name")
@@ -883,7 +891,7 @@ binh AS (
 
 def _buyer_graph(spark, sf):
     """Buyer<c> interfaces: explicit = parts of the first order, embeds = every order of c."""
-    cat = B.tpch_catalog(spark, sf)
+    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
     npk = B.nation_packages(spark, sf)
     c = B.table(spark, sf, "customer")
     o = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey")

@@ -70,5 +70,12 @@ def cut_lineage(df):
     checkpoint keeps the plan's output partitioning, so a following
     aggregation on the same keys does not shuffle again.
     """
+    from pyspark import StorageLevel
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Persist first: a reliable checkpoint writes in a second job, which
+    # would otherwise recompute the whole plan.  The copy is dropped as soon
+    # as the checkpoint files exist.
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    c = p.checkpoint(eager=True)
+    p.unpersist()
+    return c
