@@ -688,7 +688,8 @@ from codecat.plans.catalog import build_catalog  # noqa: E402
 
 
 def _extracted(spark, sf, parts):
-    cat, _ = build_catalog(spark, RD.source_tree(spark, sf, parts), closure=False)
+    """Render the tree once (materialised: it feeds several stages), then extract it."""
+    cat, _ = build_catalog(spark, cut_lineage(RD.source_tree(spark, sf, parts)), closure=False)
     return cat
 
 
