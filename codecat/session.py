@@ -62,20 +62,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Materialise ``df`` in the shared checkpoint folder (reliable, eager).
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
-    Used at stage boundaries of multi-job builds: later jobs read the
-    checkpoint instead of recomputing (and re-planning) the upstream plan,
-    and a lost executor recomputes nothing before the boundary.  The
-    checkpoint keeps the plan's output partitioning, so a following
-    aggregation on the same keys does not shuffle again.
+    Used at stage boundaries of multi-job builds: later jobs read the table
+    instead of recomputing (and re-planning) the upstream plan, and a lost
+    executor recomputes nothing before the boundary.  Parquet keeps the
+    write columnar and compressed and lets later filters and projections
+    push into the scan.
     """
-    from pyspark import StorageLevel
-    checkpoint_root(df.sparkSession)
-    # Persist first: a reliable checkpoint writes in a second job, which
-    # would otherwise recompute the whole plan.  The copy is dropped as soon
-    # as the checkpoint files exist.
-    p = df.persist(StorageLevel.MEMORY_AND_DISK)
-    c = p.checkpoint(eager=True)
-    p.unpersist()
-    return c
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
