@@ -46,12 +46,29 @@ def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None)
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """One run log per file -> parsed token columns with a status.
 
-    Whole files are read as text (``wholetext``) so that an empty file or a
-    document spread over lines is judged as one record.
+    Whole files are read (``binaryFile``: exactly one row per file) so that an
+    empty file or a document spread over lines is judged as one record.
     """
-    raw = (spark.read.option("wholetext", "true").text(path)
-           .select(F.input_file_name().alias("file"), F.col("value").alias("json")))
-    return parse_run_logs(raw, "json")
+    raw = (spark.read.format("binaryFile").load(path)
+           .select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("json")))
+    # Spark's file listing skips zero-byte files; a run that wrote nothing is
+    # still a run (status ``empty``), so those come from a metadata listing.
+    empty = spark.createDataFrame([(f, "") for f in _zero_length_files(spark, path)], "file string, json string")
+    return parse_run_logs(raw.unionByName(empty), "json")
+
+
+def _zero_length_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of zero-byte files under ``path`` (recursive listing, metadata only)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    it = fs.listFiles(p, True)
+    out = []
+    while it.hasNext():
+        st = it.next()
+        if st.getLen() == 0:
+            out.append(st.getPath().toString())
+    return out
 
 
 __all__ = ["RUN_LOG", "omitempty_struct", "to_json_rows", "write_json", "read_run_logs", "parse_run_logs"]
