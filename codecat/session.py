@@ -50,7 +50,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="codecat-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        conf = tempfile.mkdtemp(prefix="codecat-ckpt-")  # local runs and tests only
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 

@@ -72,3 +72,50 @@ def _zero_length_files(spark: SparkSession, path: str) -> list[str]:
 
 
 __all__ = ["RUN_LOG", "omitempty_struct", "to_json_rows", "write_json", "read_run_logs", "parse_run_logs"]
+
+
+# ----------------------------------------------------------- result documents
+
+def _loc() -> "F.Column":
+    return F.struct(F.col("file"), F.col("line").cast("int").alias("line")).alias("location")
+
+
+def func_info_json(df: DataFrame, out: str = "json") -> DataFrame:
+    """FuncInfo documents: name, package, receiver?, signature, is_promoted?, doc?, body?, location."""
+    s = F.struct(F.col("name"), F.col("package"), empty_to_null(F.col("receiver")).alias("receiver"),
+                 F.col("signature"),
+                 F.when(F.coalesce(F.col("is_promoted"), F.lit(False)), F.lit(True)).alias("is_promoted")
+                 if "is_promoted" in df.columns else F.lit(None).cast("boolean").alias("is_promoted"),
+                 empty_to_null(F.col("doc")).alias("doc"),
+                 empty_to_null(F.col("body")).alias("body") if "body" in df.columns
+                 else F.lit(None).cast("string").alias("body"),
+                 _loc())
+    return df.select("*", F.to_json(s).alias(out))
+
+
+def type_info_json(df: DataFrame, out: str = "json") -> DataFrame:
+    """TypeInfo documents from ``lookup.get_type`` rows (fields / methods / embeds arrays).
+
+    Empty arrays and empty strings are omitted, as with ``omitempty``.
+    """
+    def nz(c):
+        return F.when(F.size(F.col(c)) > 0, F.col(c)) if c in df.columns else F.lit(None)
+    fields = F.transform(nz("fields"), lambda f: F.struct(
+        f["name"].alias("name"), f["type"].alias("type"),
+        F.nullif(f["tag"], F.lit("")).alias("tag"), F.nullif(f["comment"], F.lit("")).alias("comment")))
+    methods = F.transform(nz("methods"), lambda m: F.struct(
+        m["name"].alias("name"), F.col("package").alias("package"), F.nullif(m["receiver"], F.lit("")).alias("receiver"),
+        m["signature"].alias("signature"), F.when(m["is_promoted"], F.lit(True)).alias("is_promoted"),
+        F.nullif(m["doc"], F.lit("")).alias("doc"),
+        (F.nullif(m["body"], F.lit("")) if "body" in [f.name for f in df.schema["methods"].dataType.elementType.fields]
+         else F.lit(None).cast("string")).alias("body"),
+        F.struct(m["file"].alias("file"), m["line"].cast("int").alias("line")).alias("location")))
+    s = F.struct(F.col("name"), F.col("package"), F.col("kind"), fields.alias("fields"), methods.alias("methods"),
+                 nz("embeds").alias("embeds"), empty_to_null(F.col("doc")).alias("doc"), _loc())
+    return df.select("*", F.to_json(s).alias(out))
+
+
+def package_summary_json(df: DataFrame, out: str = "json") -> DataFrame:
+    """list_packages rows as summaries: import_path, name, dir, file/func/type counts."""
+    s = F.struct("import_path", "name", "dir", "file_count", "func_count", "type_count")
+    return df.select("*", F.to_json(s).alias(out))
