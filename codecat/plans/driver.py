@@ -59,6 +59,14 @@ def q_list_packages_prefix(spark, sf):
 
 # ------------------------------------------------------------ implementations
 
+def _type_sets(spark, sf, cat):
+    """Method sets of concrete types: index data, built once per session like the catalogue."""
+    key = (spark.sparkContext.applicationId, sf, "type_sets")
+    if key not in B._INDEX:
+        B._INDEX[key] = cut_lineage(implement.type_method_sets(cat))
+    return B._INDEX[key]
+
+
 def _iface_requests(cat):
     """One find_implementations request per interface type (every order)."""
     return cat.types.where(F.col("kind") == "interface").select(
@@ -85,7 +93,7 @@ SELECT i.req_id, r.iname AS iface_name, i.package, i.name, 'struct' AS kind, st.
 FROM impl i JOIN req r USING (req_id) JOIN st ON st.package = i.package AND st.name = i.name""", _DIVISION))
 def q_find_implementations(spark, sf):
     cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
-    r = implement.find_implementations(cat, _iface_requests(cat))
+    r = implement.find_implementations(cat, _iface_requests(cat), type_sets=_type_sets(spark, sf, cat))
     return r.where(F.col("route").isin("value", "pointer")).select(
         "req_id", "iface_name", "package", "name", "kind", "file", "line")
 
@@ -95,7 +103,7 @@ SELECT i.req_id, i.name, i.route FROM impl i""", _DIVISION))
 def q_implementations_via(spark, sf):
     """The route (value / pointer) of every implementor."""
     cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
-    r = implement.find_implementations(cat, _iface_requests(cat))
+    r = implement.find_implementations(cat, _iface_requests(cat), type_sets=_type_sets(spark, sf, cat))
     return r.where(F.col("route").isin("value", "pointer")).select("req_id", "name", "route")
 
 
@@ -105,7 +113,7 @@ FROM req r WHERE r.req_id NOT IN (SELECT req_id FROM nreq)""", _DIVISION))
 def q_implementations_empty(spark, sf):
     """L6 empty branch: interfaces with no methods (orders without lines)."""
     cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
-    r = implement.find_implementations(cat, _iface_requests(cat))
+    r = implement.find_implementations(cat, _iface_requests(cat), type_sets=_type_sets(spark, sf, cat))
     return r.where(F.col("route") == "any_concrete").select("req_id", "iface_package", "iface_name", "route")
 
 
@@ -156,7 +164,8 @@ def q_implementations_status(spark, sf):
     reqs = _status_requests(spark, sf, cat)
     full = cut_lineage(implement.interface_status(cat, reqs))
     st = full.select("req_id", "status")
-    n = (implement.find_implementations(cat, reqs, status=full).where(F.col("name").isNotNull())
+    n = (implement.find_implementations(cat, reqs, type_sets=_type_sets(spark, sf, cat), status=full)
+         .where(F.col("name").isNotNull())
          .groupBy("req_id").agg(F.count(F.lit(1)).alias("n_implementors")))
     return (st.join(n, "req_id", "left")
             .select("req_id", "status", F.coalesce("n_implementors", F.lit(0)).alias("n_implementors")))
