@@ -12,7 +12,7 @@ concepts onto them (the same operators then run on extracted code):
                any of those lines has return flag R
     iface req  distinct (order, part) of lineitem: the methods an order needs
     var/const  part, named CamelCase(p_name) || key; constant when p_size > 25
-    embed      supplier -> supplier div 3 and supplier div 4 (key > 0)
+    embed      supplier k -> k div 3 (value) and k div 4 (pointer), k > 0
     file       /src/<source>/<lang>/<doc_id>.txt for documents
 
 Every frame is a projection/aggregation of whole tables: nothing is sampled.
@@ -194,13 +194,16 @@ def materialize(cat: Catalog, *names: str, key: tuple | None = None) -> Catalog:
 
 
 def supplier_embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embed edges supplier -> supplier div 3 and div 4 (key > 0), as names."""
+    """Embed edges between supplier keys: k embeds k div 3 by value and k div 4
+    through a pointer (one value embed when both are the same supplier); k > 0."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
-    edges = (s.where(F.col("s_suppkey") > 0)
-             .select(F.col("s_suppkey").alias("src"),
-                     F.explode(F.array(F.expr("s_suppkey div 3"), F.expr("s_suppkey div 4"))).alias("dst"))
-             .distinct())
-    return edges
+    return (s.where(F.col("s_suppkey") > 0)
+            .select(F.col("s_suppkey").alias("src_k"), F.expr("s_suppkey div 3").alias("d3"),
+                    F.expr("s_suppkey div 4").alias("d4"))
+            .select("src_k", F.explode(F.array(
+                F.struct(F.col("d3").alias("dst_k"), F.lit(False).alias("is_pointer")),
+                F.struct(F.col("d4").alias("dst_k"), (F.col("d4") != F.col("d3")).alias("is_pointer")))).alias("e"))
+            .select("src_k", "e.dst_k", "e.is_pointer").distinct())
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

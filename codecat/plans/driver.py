@@ -835,21 +835,13 @@ def _supplier_graph(spark, sf):
     st = B.struct_types(spark, sf, npk)
     key = F.concat("package", F.lit("."), "name")
     types = st.select(key.alias("key"), "package", "name", "kind", "suppkey")
-    s = B.table(spark, sf, "supplier").select("s_suppkey")
-    edges = (s.where(F.col("s_suppkey") > 0)
-             .select(F.col("s_suppkey").alias("src_k"), F.expr("s_suppkey div 3").alias("d3"),
-                     F.expr("s_suppkey div 4").alias("d4"))
-             .select("src_k", F.explode(F.array(
-                 F.struct(F.col("d3").alias("dst_k"), F.lit(False).alias("is_pointer")),
-                 F.struct(F.col("d4").alias("dst_k"), (F.col("d4") != F.col("d3")).alias("is_pointer")))).alias("e"))
-             .select("src_k", "e.dst_k", "e.is_pointer").distinct())
+    edges = B.supplier_embeds(spark, sf)
     k = types.select("suppkey", "key")
     edges = (edges.join(k.withColumnRenamed("suppkey", "src_k").withColumnRenamed("key", "src"), "src_k")
              .join(k.withColumnRenamed("suppkey", "dst_k").withColumnRenamed("key", "dst"), "dst_k")
              .select("src", "dst", "is_pointer"))
-    methods = cat.methods.where(F.col("receiver").contains(".Supplier") | F.col("receiver").contains(".supplier"))
-    methods = methods.join(types.select("package", F.col("name").alias("type_name")), ["package", "type_name"],
-                           "left_semi")
+    methods = cat.methods.join(types.select("package", F.col("name").alias("type_name")), ["package", "type_name"],
+                               "left_semi")
     m = methods.select(F.concat("package", F.lit("."), "type_name").alias("key"), "name", "ptr_receiver",
                        "receiver", "signature")
     fields = edges.join(types.select(F.col("key").alias("dst"), F.col("name").alias("fname")), "dst").select(
