@@ -27,4 +27,4 @@ def test_refresh_stream_replaces_changed_repos(spark):
     q.awaitTermination(300)
     types = spark.read.parquet(os.path.join(out, "types"))
     assert {r.name for r in types.where(F.col("repo") == "garden").collect()} == {"Flower", "Weed"}
-    assert types.where(F.col("repo") == "zoo").count() == 21
+    assert types.where(F.col("repo") == "zoo").count() == 23
