@@ -44,3 +44,15 @@ def test_length_gate(spark):
     df = spark.createDataFrame(rows, "req_id long, name string, kind string")
     st = df.select("req_id", request_status(df, []).alias("s")).orderBy("req_id").collect()
     assert [r.s for r in st] == [None, None, "argument_too_long", None, "argument_too_long"]
+
+
+def test_platform_file_names(spark):
+    from codecat.functions.build import build_ignored, platform_ok
+    names = [("a/x.go", True), ("a/x_linux.go", True), ("a/x_windows.go", False), ("a/x_amd64.go", True),
+             ("a/x_arm64.go", False), ("a/x_linux_arm64.go", False), ("a/linux.go", True),
+             ("a/x_windows_test.go", False), ("a/my_util.go", True)]
+    df = spark.createDataFrame(names, "f string, want boolean")
+    assert all(r.want == r.got for r in df.select("want", platform_ok(F.col("f")).alias("got")).collect())
+    src = spark.createDataFrame([("//go:build ignore\n\npackage main\n",), ("package x\n//go:build ignore\n",)],
+                                "c string")
+    assert [r.b for r in src.select(build_ignored(F.col("c")).alias("b")).collect()] == [True, False]
