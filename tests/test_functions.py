@@ -56,3 +56,16 @@ def test_platform_file_names(spark):
     src = spark.createDataFrame([("//go:build ignore\n\npackage main\n",), ("package x\n//go:build ignore\n",)],
                                 "c string")
     assert [r.b for r in src.select(build_ignored(F.col("c")).alias("b")).collect()] == [True, False]
+
+
+def test_build_expressions(spark):
+    from codecat.functions.build import build_expr_ok
+    cases = [("", True), ("ignore", False), ("linux", True), ("!windows", True), ("windows", False),
+             ("linux && amd64", True), ("linux && arm64", False), ("darwin || linux", True),
+             ("windows || linux && amd64", True), ("(windows || linux) && !arm64", True),
+             ("!(linux && amd64)", False), ("unix && go1.21", True), ("cgo && !purego", True),
+             ("linux && (arm64 || 386)", False)]
+    df = spark.createDataFrame([("//go:build " + e + "\n\npackage p\n" if e else "package p\n", w)
+                                for e, w in cases], "c string, want boolean")
+    got = [(r.c, r.want, r.got) for r in df.select("c", "want", build_expr_ok(F.col("c")).alias("got")).collect()]
+    assert all(w == g for _, w, g in got), [x for x in got if x[1] != x[2]]
