@@ -707,7 +707,7 @@ cu AS (
   SELECT p.package, c.c_custkey AS key,
          CASE WHEN c.c_acctbal < 0 THEN 'customer' ELSE 'Customer' END || CAST(c.c_custkey AS VARCHAR) AS name,
          c.c_acctbal < 0 AS unexp, lower(c.c_mktsegment) AS seg, c.c_mktsegment AS segu,
-         p.dir || '/' || lower(c.c_mktsegment) || '_' || CAST(c.c_custkey // 512 AS VARCHAR) || '.go' AS file
+         p.dir || '/' || lower(c.c_mktsegment) || '_c' || CAST(c.c_custkey // 512 AS VARCHAR) || '.go' AS file
   FROM customer c JOIN npk p ON c.c_nationkey = p.nationkey),
 cupos AS (
   SELECT *, 3 + coalesce(sum(CASE WHEN unexp THEN 3 ELSE 5 END) OVER (
@@ -734,7 +734,7 @@ su AS (
   SELECT p.package, s.s_suppkey AS key,
          CASE WHEN s.s_acctbal < 0 THEN 'supplier' ELSE 'Supplier' END || CAST(s.s_suppkey AS VARCHAR) AS name,
          s.s_acctbal < 0 AS unexp,
-         p.dir || '/suppliers_' || CAST(s.s_suppkey // 512 AS VARCHAR) || '.go' AS file
+         p.dir || '/suppliers_c' || CAST(s.s_suppkey // 512 AS VARCHAR) || '.go' AS file
   FROM supplier s JOIN npk p ON s.s_nationkey = p.nationkey),
 supos AS (
   SELECT *, 3 + coalesce(sum(CASE WHEN unexp THEN 3 ELSE 8 END) OVER (
@@ -744,7 +744,7 @@ np AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY
 orr AS (
   SELECT it.package, it.orderkey AS key, it.name, coalesce(np.n, 0) AS n_parts,
          replace(it.file, '/orders_' || lower(o.o_orderstatus) || '.go',
-                 '/orders_' || CAST(it.orderkey // 512 AS VARCHAR) || '.go') AS file
+                 '/orders_c' || CAST(it.orderkey // 512 AS VARCHAR) || '.go') AS file
   FROM it JOIN orders o ON o.o_orderkey = it.orderkey LEFT JOIN np ON np.l_orderkey = it.orderkey),
 orpos AS (
   SELECT *, 3 + coalesce(sum(CASE WHEN n_parts = 0 THEN 3 ELSE 4 + n_parts END) OVER (
@@ -798,7 +798,7 @@ _PV = f"""
 pa AS (
   SELECT 'example.com/parts/' || lower(p_type) AS package, p_partkey AS key,
          {CAMEL} || CAST(p_partkey AS VARCHAR) AS name, p_name, p_size, p_size > 25 AS is_const, p_brand,
-         '/src/parts/' || lower(p_type) || '/' || lower(replace(p_brand, '#', '_')) || '_'
+         '/src/parts/' || lower(p_type) || '/' || lower(replace(p_brand, '#', '_')) || '_c'
            || CAST(p_partkey // 512 AS VARCHAR) || '.go' AS file
   FROM part),
 pn AS (
