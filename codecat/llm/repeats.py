@@ -65,7 +65,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def unpacked(batch: pa.RecordBatch, more: tuple[str, ...] = ()) -> Iterator[tuple]:
-    """(chunk, ids, data, offsets, told) of each chunk; told: for each column of ``more`` its byte strings, joined."""
+    """(chunk, ids, data, offsets, told) of each chunk; told: for each column of ``more`` a list of byte strings."""
     tool = zstandard.ZstdDecompressor()
     names = batch.schema.names
     told = [batch.column(names.index(c)) for c in more]
@@ -77,11 +77,27 @@ def unpacked(batch: pa.RecordBatch, more: tuple[str, ...] = ()) -> Iterator[tupl
         offsets = np.zeros(len(lens) + 1, np.int64)
         np.cumsum(lens, out=offsets[1:])
         yield (batch.column(names.index("chunk"))[r].as_py(), batch.column(names.index("ids"))[r].values,
-               data, offsets, [b"".join(c[r].as_py() or []) for c in told])
+               data, offsets, [c[r].as_py() or [] for c in told])
 
 
-def key_set(told: bytes) -> np.ndarray:
-    return np.sort(np.frombuffer(told, U))
+def _planes(keys: np.ndarray, width: int) -> bytes:
+    """The low bytes of sorted keys, all first bytes before all second ones: their high bytes compress well so."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(raw: bytes | memoryview, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :width] = planes.T
+    return wide.reshape(-1).view(U)
+
+
+def told_keys(told: list[bytes], width: int = 8) -> np.ndarray:
+    return np.concatenate([np.empty(0, U), *(_from_planes(x, width) for x in told)])
+
+
+def key_set(told: list[bytes], width: int = 8) -> np.ndarray:
+    return np.sort(told_keys(told, width))
 
 
 def among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -107,14 +123,14 @@ def buckets_for(n_keys: int) -> int:
 
 
 def exchange(frame: DataFrame, emit: Callable, n_buckets: int, width: int = 8, need: int = 0,
-             more: tuple[str, ...] = ()) -> DataFrame:
-    """(chunk, keys, lead) with the fingerprints of each chunk that occur twice or more over all chunks.
+             more: tuple[str, ...] = (), lead: bool = False) -> DataFrame:
+    """(chunk, keys[, lead]) with the fingerprints of each chunk that occur twice or more over all chunks.
 
     ``emit(data, offsets, told)`` returns two fingerprints for each occurrence and
     a flag byte.  The second deals it to a bucket, ``width`` bytes of the first are
     compared there; so 8 * width + log2(n_buckets) bits must agree.  ``need``: flag
-    bits of which some occurrence must have one.  keys: 8 bytes each; lead: a byte
-    each, 1 in the chunk with the smallest number of those that hold the key.
+    bits of which some occurrence must have one.  keys: see ``told_keys``; lead: a
+    byte each, 1 in the chunk with the smallest number of those that hold the key.
     """
     mask = U((1 << (8 * width)) - 1)
 
@@ -135,24 +151,20 @@ def exchange(frame: DataFrame, emit: Callable, n_buckets: int, width: int = 8, n
                 many = np.diff(np.append(at, len(first))) > 1
                 marks = (np.bitwise_or.reduceat(flag, at) << 1) | many
                 first, bucket = first[at], bucket[at]
-                planes = first.view(np.uint8).reshape(-1, 8)[:, :width]
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 ends = np.append(cut[1:], len(bucket))
                 yield pa.record_batch([
                     pa.array(bucket[cut].astype(np.int32)), pa.array(np.full(len(cut), chunk, np.int64)),
-                    pa.array([planes[a:b].T.tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
+                    pa.array([_planes(first[a:b], width) for a, b in zip(cut, ends, strict=True)], pa.binary()),
                     pa.array([marks[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
                 ], names=["bucket", "chunk", "planes", "marks"])
 
     def meet(table: pa.Table) -> pa.Table:
         chunks, sizes, keys, marks = table.column("chunk").to_numpy(), [], [], []
         for planes, mark in zip(table.column("planes"), table.column("marks"), strict=True):
-            mark = np.frombuffer(mark.as_buffer(), np.uint8)
-            wide = np.zeros((len(mark), 8), np.uint8)
-            wide[:, :width] = np.frombuffer(planes.as_buffer(), np.uint8).reshape(width, len(mark)).T
-            keys.append(wide.reshape(-1).view(U))
-            marks.append(mark)
-            sizes.append(len(mark))
+            keys.append(_from_planes(planes.as_buffer(), width))
+            marks.append(np.frombuffer(mark.as_buffer(), np.uint8))
+            sizes.append(len(marks[-1]))
         keys, marks = np.concatenate(keys), np.concatenate(marks)
         row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order = np.argsort(keys)
@@ -165,20 +177,21 @@ def exchange(frame: DataFrame, emit: Callable, n_buckets: int, width: int = 8, n
         good = (size > 1) | ((every & 1) > 0)
         if need:
             good &= (every & (need << 1)) > 0
-        lead = np.repeat(np.minimum.reduceat(chunks[row], at), size) == chunks[row]
+        least = np.repeat(np.minimum.reduceat(chunks[row], at), size) == chunks[row] if lead else None
         take = np.flatnonzero(np.repeat(good, size))
         take = take[np.argsort(row[take], kind="stable")]
-        row, keys, lead = row[take], keys[take], lead[take]
+        row, keys = row[take], keys[take]
         cut = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
         ends = np.append(cut[1:], len(row))
-        return pa.table({
-            "chunk": pa.array(chunks[row[cut]], pa.int64()),
-            "keys": pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary()),
-            "lead": pa.array([lead[a:b].astype(np.uint8).tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary()),
-        })
+        out = {"chunk": pa.array(chunks[row[cut]], pa.int64()),
+               "keys": pa.array([_planes(keys[a:b], width) for a, b in zip(cut, ends, strict=False)], pa.binary())}
+        if lead:
+            least = least[take].astype(np.uint8)
+            out["lead"] = pa.array([least[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary())
+        return pa.table(out)
 
     sent = frame.mapInArrow(send, "bucket int, chunk bigint, planes binary, marks binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "chunk bigint, keys binary, lead binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "chunk bigint, keys binary" + ", lead binary" * lead)
 
 
 def tell(chunks: DataFrame, hits: DataFrame, *names: str) -> DataFrame:

@@ -33,7 +33,7 @@ _ANCHOR_BYTES = 6
 def _in_slices(work: Callable) -> Callable:
     """Apply ``work(words, told)`` to each slice of a chunk and join its arrays."""
     def emit(data: np.ndarray, offsets: np.ndarray, told: list) -> tuple:
-        found = key_set(told[0]) if told else np.empty(0, U)
+        found = key_set(told[0], _ANCHOR_BYTES) if told else np.empty(0, U)
         parts = [work(Words(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]), found)
                  for i, j in slices(offsets)]
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import U, among, buckets_for, exchange, key_set, pack, tell, total_bytes, unpacked
+from .repeats import U, among, buckets_for, exchange, key_set, pack, tell, told_keys, total_bytes, unpacked
 from .stages import drop, stage
 from .textblocks import byte_prefix, covered, mix, ranges, slices
 
@@ -60,7 +60,7 @@ def _copies(data: np.ndarray, offsets: np.ndarray, told: list, length: int) -> t
     """Which texts occur more than once, and which take part further (one of each)."""
     first, _, _ = _texts(length)(data, offsets, [])
     long = np.flatnonzero(np.diff(offsets) >= length)
-    keys, lead = np.frombuffer(told[0], U), np.frombuffer(told[1], np.uint8)
+    keys, lead = told_keys(told[0]), np.frombuffer(b"".join(told[1]), np.uint8)
     order = np.argsort(keys)
     keys, lead = keys[order], lead[order]
     twice = among(first, keys)
@@ -92,7 +92,7 @@ def _names(data: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
 def _sliced(work, length: int):
     def emit(data: np.ndarray, offsets: np.ndarray, told: list) -> tuple:
         _, part = _copies(data, offsets, told, length)
-        found = key_set(told[2]) if len(told) > 2 else None
+        found = key_set(told[2], _NAME_BYTES) if len(told) > 2 else None
         parts = [work(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], part[i:j], found)
                  for i, j in slices(offsets) if part[i:j].any()]
         if not parts:
@@ -134,7 +134,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     chunks = pack(docs, id_col, text_col)
     n_bytes = total_bytes(chunks)
-    texts = stage(exchange(chunks, _texts(length), buckets_for(n_bytes // 1000)), "texts")
+    texts = stage(exchange(chunks, _texts(length), buckets_for(n_bytes // 1000), lead=True), "texts")
     known = texts.withColumn("names", F.lit(None).cast("binary"))
     n_buckets = buckets_for(n_bytes * len(COVER) // PERIOD)
     samples = stage(exchange(tell(chunks, texts, "keys", "lead"), _sliced(_sample_names, length), n_buckets, _NAME_BYTES,
