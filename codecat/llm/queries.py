@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import decontamination, language_id, mixing, quality_rules, substring_dedup, suffix_dedup
 from .stages import on_executors
 
 
@@ -20,11 +20,17 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 
 QUERIES = {f.__name__: _query(f) for f in (
+    language_id.op2_language_id,
+    mixing.op4_mixing,
+    decontamination.op5_decontamination,
+    quality_rules.op6_quality_rules,
     substring_dedup.op9_substring_dedup,
     suffix_dedup.op10_suffix_dedup,
 )}
 
 ORACLE = {
+    "op4_mixing": mixing.ORACLE,
+    "op5_decontamination": decontamination.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_suffix_dedup": suffix_dedup.ORACLE,
 }
