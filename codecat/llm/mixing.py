@@ -37,6 +37,11 @@ def _hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15), 16, 10).cast("bigint")
 
 
+def row_key(id_col: str, source_col: str, text_col: str) -> Column:
+    """Equal for rows that repeat, and but for chance only for them."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in (id_col, source_col, text_col)))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_no, source_size, target) from (source, size): one row per source.
 
@@ -133,7 +138,7 @@ def splitting_tree(quotas: DataFrame, n_shards: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, size, source, source_size, target, draws) per row of ``docs``; other columns are not read.
+    """(id, row_key, size, source, source_size, target, draws) per row of ``docs``; other columns are not read.
 
     draws: a struct (pass, shard, words, place) for each time that the mix takes the
     document; words is its size but for the one document of a source at which the
@@ -145,7 +150,7 @@ def mix(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", source_
     """
     sized = stage(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.col(text_col)).alias("tie"), _hash(id_col).alias("place")), "mix-sizes")
+        row_key(id_col, source_col, text_col).alias("row_key"), _hash(id_col).alias("place")), "mix-sizes")
     sized = sized.withColumn("block", F.pmod("place", F.lit(BLOCKS)))
     sources = stage(targets(sized).withColumns({
         "quota": F.round("target").cast("bigint")}).withColumns({
@@ -169,7 +174,7 @@ def mix(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", source_
     plan = blocks.select("source", "source_no", "block", "source_size", "target", "passes", "rest", "before").join(
         shards, ["source_no", "block"], "left").withColumnRenamed("source", "named").withColumnRenamed("block", "in_block")
     rows = sized.join(plan, sized["source"].eqNullSafe(plan["named"]) & (sized["block"] == plan["in_block"])).drop("named", "in_block")
-    inside = Window.partitionBy("source", "block").orderBy("place", "id", "size", "tie")
+    inside = Window.partitionBy("source", "block").orderBy("place", "id", "size", "row_key")
     so_far = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     rest = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), F.col("rest") - so_far))
     rows = rows.withColumn("last_words", rest)
@@ -177,7 +182,22 @@ def mix(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", source_
         g["pass"].alias("pass"), g["shard"].alias("shard"),
         F.when(g["pass"] < F.col("passes"), F.col("size")).otherwise(F.col("last_words")).alias("words"),
         _hash(F.col("id"), g["shard"], g["pass"]).alias("place"))), lambda d: d["words"] > 0)
-    return rows.select("id", "size", "source", "source_size", "target", draws.alias("draws"))
+    return rows.select("id", "row_key", "size", "source", "source_size", "target", draws.alias("draws"))
+
+
+def mixture(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with shard, place, pass and words.
+
+    The document at which its source's target is reached is cut after that many words.
+    """
+    new = ("pass", "shard", "words", "place")
+    plan = mix(docs, n_shards, id_col, source_col, text_col).select("row_key", "size", F.explode("draws").alias("_draw"))
+    keyed = docs.select(row_key(id_col, source_col, text_col).alias("row_key"), *(F.col(f"`{c}`") for c in docs.columns if c not in new))
+    rows = plan.join(keyed.dropDuplicates(["row_key"]), "row_key")
+    cut = F.when(F.col("_draw.words") < F.col("size"), F.array_join(
+        F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), " "))
+    return rows.select(*(F.coalesce(cut, F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in new),
+                       *(F.col(f"_draw.{c}").alias(c) for c in new))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

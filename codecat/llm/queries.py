@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, mixing, quality_rules, substring_dedup, suffix_dedup
+from . import (
+    decontamination, html_extract, language_id, mixing, ngram_join, pii, quality_rules, substring_dedup, suffix_dedup, url_filter,
+)
 from .stages import on_executors
 
 
@@ -20,17 +22,23 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 
 QUERIES = {f.__name__: _query(f) for f in (
+    url_filter.op1_url_filter,
     language_id.op2_language_id,
+    html_extract.op3_html_extract,
     mixing.op4_mixing,
     decontamination.op5_decontamination,
     quality_rules.op6_quality_rules,
+    pii.op7_pii,
+    ngram_join.op8_ngram_join,
     substring_dedup.op9_substring_dedup,
     suffix_dedup.op10_suffix_dedup,
 )}
 
 ORACLE = {
+    "op1_url_filter": url_filter.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op5_decontamination": decontamination.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_suffix_dedup": suffix_dedup.ORACLE,
 }

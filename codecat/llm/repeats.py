@@ -123,14 +123,15 @@ def buckets_for(n_keys: int) -> int:
 
 
 def exchange(frame: DataFrame, emit: Callable, n_buckets: int, width: int = 8, need: int = 0,
-             more: tuple[str, ...] = (), lead: bool = False) -> DataFrame:
-    """(chunk, keys[, lead]) with the fingerprints of each chunk that occur twice or more over all chunks.
+             more: tuple[str, ...] = (), lead: bool = False, size: bool = False) -> DataFrame:
+    """(chunk, keys[, lead][, size]) with the fingerprints of each chunk that occur twice or more over all chunks.
 
     ``emit(data, offsets, told)`` returns two fingerprints for each occurrence and
     a flag byte.  The second deals it to a bucket, ``width`` bytes of the first are
     compared there; so 8 * width + log2(n_buckets) bits must agree.  ``need``: flag
     bits of which some occurrence must have one.  keys: see ``told_keys``; lead: a
-    byte each, 1 in the chunk with the smallest number of those that hold the key.
+    byte each, 1 in the chunk with the smallest number of those that hold the key;
+    size: a byte each, eight times the binary logarithm of the number of chunks with it.
     """
     mask = U((1 << (8 * width)) - 1)
 
@@ -172,26 +173,28 @@ def exchange(frame: DataFrame, emit: Callable, n_buckets: int, width: int = 8, n
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
         at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(keys)))
+        held = np.diff(np.append(at, len(keys)))
         every = np.bitwise_or.reduceat(marks, at)
-        good = (size > 1) | ((every & 1) > 0)
+        good = (held > 1) | ((every & 1) > 0)
         if need:
             good &= (every & (need << 1)) > 0
-        least = np.repeat(np.minimum.reduceat(chunks[row], at), size) == chunks[row] if lead else None
-        take = np.flatnonzero(np.repeat(good, size))
+        least = np.repeat(np.minimum.reduceat(chunks[row], at), held) == chunks[row] if lead else None
+        level = np.repeat(np.round(8 * np.log2(held)), held).astype(np.uint8) if size else None
+        take = np.flatnonzero(np.repeat(good, held))
         take = take[np.argsort(row[take], kind="stable")]
         row, keys = row[take], keys[take]
         cut = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
         ends = np.append(cut[1:], len(row))
         out = {"chunk": pa.array(chunks[row[cut]], pa.int64()),
                "keys": pa.array([_planes(keys[a:b], width) for a, b in zip(cut, ends, strict=False)], pa.binary())}
-        if lead:
-            least = least[take].astype(np.uint8)
-            out["lead"] = pa.array([least[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary())
+        for name, value in (("lead", least), ("size", level)):
+            if value is not None:
+                value = value[take].astype(np.uint8)
+                out[name] = pa.array([value[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary())
         return pa.table(out)
 
     sent = frame.mapInArrow(send, "bucket int, chunk bigint, planes binary, marks binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "chunk bigint, keys binary" + ", lead binary" * lead)
+    return sent.groupBy("bucket").applyInArrow(meet, "chunk bigint, keys binary" + ", lead binary" * lead + ", size binary" * size)
 
 
 def tell(chunks: DataFrame, hits: DataFrame, *names: str) -> DataFrame:

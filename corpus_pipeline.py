@@ -3,10 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codecat.llm.stages import on_executors, stage
+from codecat.llm import decontamination, mixing, ngram_join, pii, quality_rules
+from codecat.llm.stages import drop, on_executors, stage
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised quality rules keep."""
+    on_executors(spark)
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of similar ones."""
+    on_executors(spark)
+    return ngram_join.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of ``benchmark``."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and secrets replaced; n_chars follows the text."""
+    on_executors(spark)
+    out = pii.with_surrogates(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: documents as often as it takes them, with shard and place."""
+    return mixing.mixture(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("PII surrogates", surrogates),
+    ("mixing", mix_sources),
+]
 
 # Quality posteriors and surrogates cannot be stated in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
@@ -17,5 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     on_executors(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        before, docs = docs, stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(before)
     return docs
