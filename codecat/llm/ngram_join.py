@@ -9,13 +9,15 @@ threshold, and gives components rather than all pairs:
    Most documents end here.
 2. Equal sets are one class.  Classes share tokens in their prefix, the fifth of
    their tokens (and one) that is rarest; every similar pair has a common one.
-   Each class is compared with the leader of its tokens, the class with the
-   fewest unique tokens; those that are similar form groups.
-3. The token-group matrix holds the prefix tokens of whole groups.  Groups with a
-   common one are candidates; large groups are cut into parts of ``PART`` classes.
-   In a pair of parts, a query is bounded by its overlap with the other part's
-   token union, and only a part that can qualify is opened; the first similar
-   pair links the groups, and a pair of groups needs no other.
+   Each token has a leader, its class with the fewest unique tokens, and each class
+   joins the group of its tokens' first leader; so groups hold similar documents.
+   A class is compared with its leader at once, and linked if similar.
+3. Groups are cut into parts of about ``PART`` classes, those linked with the leader
+   apart from the others.  The token-group matrix holds the prefix tokens of whole
+   parts, so parts with a common one are candidates, but for two parts that their
+   leader connects already.  In a pair of parts, a query is bounded by its overlap
+   with the other part's token union, and opened only if it can qualify; the links
+   found leave as a spanning forest.
 
 Tokens and classes are 64-bit fingerprints.
 """
@@ -132,73 +134,89 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
 
-def first_link(queries: list[np.ndarray], members: list[np.ndarray]) -> tuple[int, int] | None:
-    """A similar pair of a query and a member, if there is one: bound by the union first, open only then."""
+def links_between(queries: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Similar pairs of a query and a member: bound by the union of all members first, opened only then."""
     flat, size = np.concatenate(members), np.array([len(m) for m in members])
     owner = np.repeat(np.arange(len(members)), size)
     order = np.argsort(flat)
     flat, owner = flat[order], owner[order]
-    union = flat[np.append(True, flat[1:] != flat[:-1])]
+    at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    union, count = flat[at], np.diff(np.append(at, len(flat)))
     for q, query in enumerate(queries):
         fits = (PERCENT * len(query) <= 100 * size) & (PERCENT * size <= 100 * len(query))
         if not fits.any():
             continue
-        at = np.minimum(np.searchsorted(union, query), len(union) - 1)
-        held = query[union[at] == query]
-        if len(held) < _needed(len(query)):
+        place = np.minimum(np.searchsorted(union, query), len(union) - 1)
+        place = place[union[place] == query]
+        if len(place) < _needed(len(query)):
             continue
-        lo, hi = np.searchsorted(flat, held, "left"), np.searchsorted(flat, held, "right")
-        count = hi - lo
-        places = np.repeat(lo - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-        common = np.bincount(owner[places], minlength=len(members))
-        hit = np.flatnonzero(100 * common >= PERCENT * (len(query) + size - common))
-        if len(hit):
-            return q, int(hit[0])
-    return None
+        n = count[place]
+        rows = np.repeat(at[place] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        common = np.bincount(owner[rows], minlength=len(members))
+        for m in np.flatnonzero(100 * common >= PERCENT * (len(query) + size - common)):
+            yield q, int(m)
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links between the two parts of each row, or within one part."""
     for batch in batches:
-        good = []
+        left, right = [], []
         for r in range(batch.num_rows):
-            mine, theirs = ([np.frombuffer(x.as_buffer(), U) for x in batch.column(k)[r].values] for k in (2, 3))
-            good.append(first_link(mine, theirs) is not None)
-        yield pa.record_batch([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+            names, sets = [], []
+            for k in (2, 3):
+                rows = batch.column(k)[r].values
+                names.append(rows.field("cls").to_numpy())
+                sets.append([np.frombuffer(x.as_buffer(), U) for x in rows.field("tokens")])
+            above = {c: c for part in names for c in part.tolist()}
+
+            def top(c: int) -> int:
+                while above[c] != c:
+                    above[c] = above[above[c]]
+                    c = above[c]
+                return c
+
+            for q, m in links_between(*sets):
+                a, b = top(int(names[0][q])), top(int(names[1][m]))
+                if a != b:
+                    above[a] = b
+                    left.append(int(names[0][q]))
+                    right.append(int(names[1][m]))
+        yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 def join_classes(sets: DataFrame) -> DataFrame:
     """(node, root) over the classes of ``sets`` (cls, n, n_unique, tokens) that are linked with others."""
     postings = stage(sets.select("cls", "n", "n_unique", "tokens").mapInArrow(_prefixes, "token bigint, cls bigint"), "postings")
+    known = sets.select("cls", "n", "n_unique")
     order = F.struct((F.col("n_unique") / F.col("n")).alias("share"), "cls")
-    leaders = postings.join(sets.select("cls", "n", "n_unique"), "cls").groupBy("token").agg(
-        F.min(order)["cls"].alias("lead"), F.count("*").alias("held")).where(F.col("held") > 1)
-    pairs = postings.join(leaders, "token").where(F.col("cls") != F.col("lead")).select(
-        F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
-    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("nx"))
-    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("ny"))
-    near = (100 * F.col("ny") >= PERCENT * F.col("nx")) & (100 * F.col("nx") >= PERCENT * F.col("ny"))
-    star = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "y")
+    leaders = postings.join(known, "cls").groupBy("token").agg(F.min(order).alias("lead"), F.count("*").alias("held")).where("held > 1")
+    groups = stage(postings.join(leaders, "token").groupBy("cls").agg(F.min("lead")["cls"].alias("grp")), "groups")
+    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
+    star = groups.where(F.col("cls") != F.col("grp")).select(F.col("cls").alias("a"), F.col("grp").alias("b")).join(
+        left, "a").join(right, "b").select("a", "b", "x", "y")
     links = stage(star.mapInArrow(_verified, "a bigint, b bigint"), "links")
-    groups = stage(components(links), "groups")
-
-    grouped = sets.join(groups, sets["cls"] == groups["node"], "left").select(
-        "cls", "n", "tokens", F.coalesce("root", "cls").alias("grp"))
-    sizes = grouped.groupBy("grp").agg(F.count("*").alias("held"), F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = stage(postings.join(grouped.select("cls", "grp"), "cls").select("token", "grp").distinct().join(sizes, "grp"), "matrix")
-    other = matrix.select("token", *(F.col(c).alias(f"{c}2") for c in ("grp", "held", "least", "most")))
-    # Sizes must overlap within the threshold; so must some prefix token.
+
+    near = links.select(F.col("a").alias("cls"), F.lit(True).alias("near"))
+    grouped = groups.join(near, "cls", "left").withColumn("near", F.coalesce("near", F.col("cls") == F.col("grp")))
+    held = grouped.groupBy("grp", "near").agg(F.count("*").alias("held"))
+    grouped = stage(grouped.join(held, ["grp", "near"]).select("cls", "grp", "near", F.concat_ws(
+        "/", "grp", "near", F.pmod(F.xxhash64("cls"), F.ceil(F.col("held") / PART))).alias("part")), "grouped")
+    packed = stage(grouped.join(sets.select("cls", "n", "tokens"), "cls").groupBy("part", "grp", "near").agg(
+        F.collect_list(F.struct("cls", "tokens")).alias("sets"), F.min("n").alias("least"), F.max("n").alias("most")), "parts")
+    about = packed.select("part", "grp", "near", "least", "most")
+    matrix = stage(postings.join(grouped.select("cls", "part"), "cls").select("token", "part").distinct().join(about, "part"), "matrix")
+    other = matrix.select("token", *(F.col(c).alias(f"{c}2") for c in about.columns))
+    # Some prefix token must be common, and the sizes must overlap within the threshold.
     fits = (100 * F.col("most") >= PERCENT * F.col("least2")) & (100 * F.col("most2") >= PERCENT * F.col("least"))
-    pairs = matrix.join(other, "token").where((F.col("grp") < F.col("grp2")) & fits).select("grp", "grp2").distinct()
-
-    parts = grouped.join(sizes.select("grp", "held"), "grp").withColumn(
-        "part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("held") / PART)))
-    packed = stage(parts.groupBy("grp", "part").agg(F.collect_list("tokens").alias("sets")), "parts")
-    one = packed.select("grp", F.col("sets").alias("x"))
-    two = packed.select(F.col("grp").alias("grp2"), F.col("sets").alias("y"))
-    opened = pairs.join(one, "grp").join(two, "grp2").select(F.col("grp").alias("a"), F.col("grp2").alias("b"), "x", "y")
+    connected = F.col("near") & F.col("near2") & (F.col("grp") == F.col("grp2"))
+    pairs = matrix.join(other, "token").where((F.col("part") <= F.col("part2")) & fits & ~connected).select("part", "part2").distinct()
+    one = packed.select("part", F.col("sets").alias("x"))
+    two = packed.select(F.col("part").alias("part2"), F.col("sets").alias("y"))
+    opened = pairs.join(one, "part").join(two, "part2").select("part", "part2", "x", "y")
     merged = opened.mapInArrow(_opened, "a bigint, b bigint").union(links)
     out = stage(components(merged), "linked")
-    drop(postings, links, groups, matrix, packed)
+    drop(postings, groups, links, grouped, packed, matrix)
     return out
 
 
