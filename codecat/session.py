@@ -14,21 +14,17 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Rows above which a request side is no longer broadcast (checked with a count).
-BROADCAST_ROW_LIMIT = 100_000
-
 
 def build_session(master: str | None = None, app: str = "codecat",
                   shuffle_partitions: int | None = None) -> SparkSession:
-    """Session with AQE, skew-join splitting and the UI off."""
+    """Session with AQE, skew-join splitting and the UI off; the cluster's shuffle partitions unless some are asked for."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    if shuffle_partitions is None:
-        shuffle_partitions = int(os.environ.get("CODECAT_SHUFFLE_PARTITIONS", "8"))
+    if shuffle_partitions is not None:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
-        b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        b.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
