@@ -59,19 +59,30 @@ def denial_gate(runs: DataFrame, bench_cols: list[str], denials: str = "denials"
             .withColumn("status", F.when(F.col("n_denied") > 0, F.lit("invalid")).otherwise(F.lit("valid"))))
 
 
+def valid_runs(runs: DataFrame, bench_cols: list[str], denials: str = "denials") -> DataFrame:
+    """The runs that a report may count: parsed ones of benchmarks without any denied run."""
+    ok = runs.where(F.col("status") == "ok") if "status" in runs.columns else runs
+    gate = denial_gate(ok, bench_cols, denials).where(F.col("status") == "valid").select(*bench_cols)
+    return ok.join(gate, bench_cols, "left_semi")
+
+
 def arm_stats(runs: DataFrame, arm: str = "arm", eff: str = "eff", cost: str = "cost") -> DataFrame:
     """B3 + B8: per arm n, mean and sample sd (0 when n = 1), and the CV.
 
-    Tokens are reported to one decimal and cost to four, as the report
-    prints them; the CV is sd / mean of the unrounded values.
+    Tokens are reported to one decimal and cost to four, ties to even, as the
+    report prints them; the CV is sd / mean of the unrounded values.  Logs that
+    were empty or did not parse (``status`` other than ok, where there is that
+    column) are no runs.
     """
+    if "status" in runs.columns:
+        runs = runs.where(F.col("status") == "ok")
     sd_e = F.coalesce(F.stddev_samp(eff), F.lit(0.0))
     sd_c = F.coalesce(F.stddev_samp(cost), F.lit(0.0))
     return (runs.groupBy(arm)
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.round(F.avg(eff), 1).alias("mean_eff"), F.round(sd_e, 1).alias("sd_eff"),
-                 F.round(F.avg(cost), 4).alias("mean_cost"), F.round(sd_c, 4).alias("sd_cost"),
-                 F.round(sd_e / F.avg(eff), 4).alias("cv_eff")))
+                 F.bround(F.avg(eff), 1).alias("mean_eff"), F.bround(sd_e, 1).alias("sd_eff"),
+                 F.bround(F.avg(cost), 4).alias("mean_cost"), F.bround(sd_c, 4).alias("sd_cost"),
+                 F.bround(sd_e / F.avg(eff), 4).alias("cv_eff")))
 
 
 def compare_arms(stats: DataFrame, baseline: str, index: str, arm: str = "arm") -> DataFrame:

@@ -544,9 +544,9 @@ eff AS (
                   + cache_creation::DOUBLE * 1.25::DOUBLE)::BIGINT AS eff
   FROM runs),
 stats AS (
-  SELECT arm, count(*) AS n, round(avg(eff), 1) AS mean_eff, round(coalesce(stddev_samp(eff), 0), 1) AS sd_eff,
-         round(avg(cost), 4) AS mean_cost, round(coalesce(stddev_samp(cost), 0), 4) AS sd_cost,
-         round(coalesce(stddev_samp(eff), 0) / avg(eff), 4) AS cv_eff
+  SELECT arm, count(*) AS n, round_even(avg(eff), 1) AS mean_eff, round_even(coalesce(stddev_samp(eff), 0), 1) AS sd_eff,
+         round_even(avg(cost), 4) AS mean_cost, round_even(coalesce(stddev_samp(cost), 0), 4) AS sd_cost,
+         round_even(coalesce(stddev_samp(eff), 0) / avg(eff), 4) AS cv_eff
   FROM eff GROUP BY arm)"""
 
 

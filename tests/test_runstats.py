@@ -37,3 +37,17 @@ def test_effective_tokens_and_gate(spark):
     assert [x.e for x in e] == [14, 1, 3] and [x.z for x in e] == [False, True, False]
     g = {r.bench: r.status for r in RS.denial_gate(df, ["bench"]).collect()}
     assert g == {"b1": "invalid", "b2": "valid"}
+
+
+def test_report_counts_valid_runs_only(spark):
+    runs = spark.createDataFrame(
+        [("x", "g", "ok", 0, 1), ("x", "g", "invalid_json", 0, 0), ("x", "l", "ok", 0, 2), ("y", "g", "ok", 1, 50), ("y", "l", "ok", 0, 60)],
+        "bench string, arm string, status string, denials long, eff long").withColumn("cost", F.lit(0.25))
+    st = {r.arm: (r.n, r.mean_eff) for r in RS.arm_stats(RS.valid_runs(runs, ["bench"])).collect()}
+    assert st == {"g": (1, 1.0), "l": (1, 2.0)}
+    assert {r.arm: r.n for r in RS.arm_stats(runs).collect()} == {"g": 2, "l": 2}
+
+
+def test_ties_round_to_even(spark):
+    runs = spark.createDataFrame([("a", 0, 0.0), ("a", 0, 0.0), ("a", 0, 0.0), ("a", 1, 0.0)], "arm string, eff long, cost double")
+    assert RS.arm_stats(runs).first().mean_eff == 0.2
