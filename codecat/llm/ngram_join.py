@@ -254,10 +254,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = stage(jaccard_components(docs, id_col, text_col), "components")
     gone = found.groupBy("id").agg(F.max((F.col("component_id") == F.col("id")).cast("int")).alias("stays")).where("stays = 0")
     twice = found.where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1")
-    rest = docs.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    # The list grows with the corpus, so it is joined in the same way at every size.
+    rest = docs.join(gone.select(F.col("id").alias(id_col)).hint("merge"), id_col, "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if twice.isEmpty():
+        return rest.select(*columns)
     twice = twice.select(F.col("id").alias(id_col))
     single = rest.join(twice, id_col, "left_anti")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     some = rest.join(twice, id_col, "left_semi").select(*columns)
     firsts = some.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(F.col(text_col).alias("_t"), F.struct(*columns).alias("_row"))).alias("_m"))
     return single.select(*columns).union(firsts.select(*(F.col(f"_m._row.`{c}`") for c in docs.columns)))
