@@ -7,10 +7,10 @@ from codecat.functions.gate import request_status
 
 
 def test_under_root(spark):
-    cases = [("/root/foo.go", True), ("/root/pkg/sub/foo.go", True), ("/other/foo.go", False),
-             ("/foo.go", False), ("/root", True), ("/rootx/a.go", False), ("/root/..x/a.go", False)]
+    cases = [("/srv/go/zoo/otter.go", True), ("/srv/go/zoo", True), ("/srv/go/zoology/otter.go", False), ("/srv/go", False),
+             ("/srv/go/zoo/a/b/c/d.go", True), ("/tmp/srv/go/zoo/x.go", False), ("/srv/go/zoo/..x/a.go", False)]
     df = spark.createDataFrame(cases, "path string, want boolean")
-    got = df.select("want", under_root(F.col("path"), F.lit("/root")).alias("got")).collect()
+    got = df.select("want", under_root(F.col("path"), F.lit("/srv/go/zoo")).alias("got")).collect()
     assert all(r.want == r.got for r in got)
 
 
@@ -29,13 +29,13 @@ def test_dirname_and_file_matches(spark):
 
 
 def test_exported_and_cut(spark):
-    df = spark.createDataFrame([("Exported",), ("unexported",), ("MyType",), ("myType",), ("Élan",), ("_x",)],
+    df = spark.createDataFrame([("Otter",), ("heron",), ("ÖreSund",), ("élan",), ("X9",), ("_X",)],
                                "n string")
     assert [r.e for r in df.select(is_exported("n").alias("e")).collect()] == [True, False, True, False, True,
                                                                                 False]
-    d2 = spark.createDataFrame([("A.B.C",), ("Func",)], "n string")
+    d2 = spark.createDataFrame([("Pen.Gate.Latch",), ("Spring",)], "n string")
     h, t, f = cut_first(F.col("n"))
-    assert [tuple(r) for r in d2.select(h, t, f).collect()] == [("A", "B.C", True), ("Func", None, False)]
+    assert [tuple(r) for r in d2.select(h, t, f).collect()] == [("Pen", "Gate.Latch", True), ("Spring", None, False)]
 
 
 def test_length_gate(spark):

@@ -54,12 +54,12 @@ def test_result_documents(spark, fixture_catalog):
     from codecat.operators import lookup
     cat, _ = fixture_catalog
     A = "example.org/zoo/animals"
-    reqs = spark.createDataFrame([(1, A, "Cat"), (2, A, "Puppy")], "req_id long, package string, name string")
+    reqs = spark.createDataFrame([(1, A, "Left"), (2, A, "Cub")], "req_id long, package string, name string")
     docs = {r.req_id: json.loads(r.json) for r in jsonio.type_info_json(lookup.get_type(cat, reqs)).collect()}
-    assert docs[1]["kind"] == "struct" and "fields" not in docs[1] and docs[1]["methods"][0]["name"] == "Speak"
+    assert docs[1]["kind"] == "struct" and "fields" not in docs[1] and docs[1]["methods"][0]["name"] == "Turn"
     assert "is_promoted" not in docs[1]["methods"][0]
-    assert docs[2]["embeds"] == [f"{A}.Cat"] and docs[2]["methods"][0]["is_promoted"] is True
-    fr = spark.createDataFrame([(1, A, "NewDog")], "req_id long, package string, name string")
+    assert docs[2]["embeds"] == [f"{A}.Otter"] and docs[2]["methods"][0]["is_promoted"] is True
+    fr = spark.createDataFrame([(1, A, "Spring")], "req_id long, package string, name string")
     f = json.loads(jsonio.func_info_json(lookup.get_function(cat, fr)).collect()[0].json)
     assert set(f) == {"name", "package", "signature", "doc", "body", "location"}
-    assert f["location"]["line"] == 44
+    assert f["location"]["line"] == 110
