@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -354,6 +354,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     breach = collisions(found).first()
     if breach is not None:
         raise RuntimeError(f"surrogates collide: {breach}")
-    kinds = F.transform("mentions", lambda m: m["kind"])
+
+    def held(kind: str) -> Column:
+        return F.size(F.filter("mentions", lambda m: m["kind"] == kind)).cast("bigint")
+
     return told.select("doc_id", "text", F.size("mentions").cast("bigint").alias("n_entities"),
-                       *(F.size(F.filter(kinds, lambda k, n=n: k == n)).cast("bigint").alias(f"n_{n}") for n in KINDS))
+                       *(held(kind).alias(f"n_{kind}") for kind in KINDS))
