@@ -23,11 +23,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .textblocks import Words, laid_out, slices
+from .textblocks import laid_out, slices
 
 KEY = b"set a secret key in production"
 _ROUNDS = 6
@@ -260,39 +261,26 @@ def replace(key: bytes, text: str, holds: int = AT | DIGIT | EQUALS | NAME) -> t
 _TRIGGER = np.zeros(256, np.uint8)
 for _bit, _chars in ((AT, b"@"), (DIGIT, b"0123456789"), (EQUALS, b"=:")):
     _TRIGGER[list(_chars)] = _bit
-_LETTER = np.zeros(256, bool)
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+# A listed name or title anywhere, not followed by a letter: whatever the name patterns find holds one.
+_NAME_HINT = rf"(?:{'|'.join([*_GIVEN, *TITLES])})(?:\PL|$)"
 
 
-def _name_words() -> np.ndarray:
-    """Fingerprints of the words after which a name may be found."""
-    data, offsets = laid_out(pa.array(sorted([*_GIVEN, *TITLES, *(f"{t}." for t in TITLES)])))
-    return np.sort(Words(data, offsets).hashes())
-
-
-def _holds(data: np.ndarray, offsets: np.ndarray, name_words: np.ndarray) -> np.ndarray:
-    """The triggers that each row holds, as bits; a name word counts after any punctuation."""
+def _holds(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The triggers that each row holds, as bits."""
     out = np.zeros(len(offsets) - 1, np.uint8)
     some = offsets[:-1] < offsets[1:]
     if some.any():
         out[some] = np.bitwise_or.reduceat(_TRIGGER[data], offsets[:-1][some])
-    words = Words(data, offsets)
-    rows = words.rows()
-    odd = np.flatnonzero(~_LETTER[data[words.lo]])
-    at = np.append(np.flatnonzero(_LETTER[data]), len(data)) if len(odd) else odd
-    words.lo[odd] = np.minimum(at[np.searchsorted(at, words.lo[odd])], words.hi[odd] - 1) if len(odd) else odd
-    found = np.searchsorted(name_words, h := words.hashes())
-    out[rows[name_words[np.minimum(found, len(name_words) - 1)] == h]] |= NAME
+    out[pc.match_substring_regex(texts, _NAME_HINT).fill_null(False).to_numpy(zero_copy_only=False)] |= NAME
     return out
 
 
 def _replaced(texts: pa.Array, key: bytes) -> tuple[pa.Array, list[list[tuple[str, str, str]]]]:
     data, offsets = laid_out(texts)
     new: dict[int, str] = {}
-    name_words = _name_words()
     told: list[list[tuple[str, str, str]]] = [[]] * len(texts)
     for i, j in slices(offsets):
-        holds = _holds(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], name_words)
+        holds = _holds(texts.slice(i, j - i), data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
         for r in np.flatnonzero(holds) + i:
             text, mentions = replace(key, texts[int(r)].as_py(), int(holds[r - i]))
             if mentions:
