@@ -3,8 +3,8 @@
 Every page's containers are scored by the text of their paragraphs, and the
 page votes for the generalised path (tags with their classes, numbers left out) of its
 best one.  Votes are counted per host in Spark, and pages are extracted from the
-elements on their host's winning path; a page without such an element is
-extracted from its own best container.
+articles that the elements on their host's winning path are in; a page without
+such an element is extracted around its own best container.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 BLOCKS = frozenset(("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
                     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table "
                     "tbody tfoot thead tr ul").split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
 BOILERPLATE_TAGS = frozenset("head nav header footer aside form dialog menu".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
@@ -177,23 +178,54 @@ def best(elements: list[Element]) -> Element:
                key=lambda e: (e.score * weight.get(e.tag, 1.0), -e.order))
 
 
-def extract(page: str, path: str | None) -> str:
-    """The text blocks of the elements on ``path``, or of the page's best container if it has none."""
-    elements, blocks = parse(page)
-    chosen = {e.order for e in elements if path is not None and e.path == path and (e.tag in CONTAINERS or e.parent is None) and not e.out}
+def _above(e: Element) -> Iterator[Element]:
+    """The element and what holds it, from the inside out."""
+    node: Element | None = e
+    while node is not None:
+        yield node
+        node = node.parent
 
-    def inside(e: Element | None) -> bool:
-        while e is not None:
-            if e.order in chosen:
-                return True
-            e = e.parent
-        return False
 
-    texts = [text for holder, text in blocks if inside(holder)] if chosen else []
-    if not texts:
-        chosen = {best(elements).order}
-        texts = [text for holder, text in blocks if inside(holder)]
-    return "\n\n".join(texts)
+def whole(chosen: list[Element], blocks: list[tuple[Element, str]]) -> list[str]:
+    """The texts of the article that the chosen containers are in, or are.
+
+    That is the outermost article or main around a container, with page headlines
+    beside it.  Without one it is the outermost element around it, short of the
+    page's body, that adds paragraphs or headings; of the body itself only
+    paragraphs and headings that are in no other container.
+    """
+    marked = [next((a for a in reversed(list(_above(e))) if a.tag in ("article", "main")), None) for e in chosen]
+    tops = {(m or e).order for e, m in zip(chosen, marked, strict=True)}
+    around = {a.order: m is not None for e, m in zip(chosen, marked, strict=True) for a in _above(m or e)}
+    beside = set()
+    for k, (holder, _) in enumerate(blocks):
+        line = []
+        for node in _above(holder):
+            if node.order in around:
+                break
+            line.append(node)
+        if node.order in tops:
+            continue
+        kind = next((e.tag for e in line if e.tag in PARAGRAPHS), None)
+        boxed = any(e.tag in CONTAINERS for e in line)
+        if kind is None or (around[node.order] and (boxed or kind != "h1")):
+            continue
+        if around[node.order] or node.tag in ("", "html", "body"):
+            if not boxed:
+                beside.add(k)
+        else:
+            tops.add(node.order)
+    return [text for k, (holder, text) in enumerate(blocks) if k in beside or any(e.order in tops for e in _above(holder))]
+
+
+def extract(page: str, path: str | None) -> str:
+    """The text of the articles on ``path``, or around the page's best container if it has none there."""
+    elements, blocks = parse(page)
+    chosen = [e for e in elements if path is not None and e.path == path and (e.tag in CONTAINERS or e.parent is None) and not e.out]
+    orders = {e.order for e in chosen}
+    if not any(e.order in orders for holder, _ in blocks for e in _above(holder)):
+        chosen = [best(elements)]
+    return "\n\n".join(whole(chosen, blocks))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
