@@ -37,6 +37,12 @@ BOILERPLATE_WORDS = frozenset(("ad ads adsense advert adverts advertisement adve
                                "cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
                                "notification pager pagination popup promo promotion recommended related replies reply share sharing sidebar "
                                "signup skip social sponsor sponsored subscribe subscription toolbar widget").split())
+# Those that name what is by others or for sale, never a page's layout.
+OTHERS = BOILERPLATE_WORDS - frozenset(("alert banner breadcrumb breadcrumbs footer header masthead menu modal nav navbar navigation notice notification "
+                                        "pager pagination sidebar skip social toolbar widget").split())
+LAYOUT_WORDS = frozenset(("area bar block box button buttons col column container content holder inner item items left links list outer panel post posts "
+                          "primary right secondary section site slot top bottom global page wrap wrapper").split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A paragraph ends at the start of a block; a list item or table part at the start of its like.
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
              "option": ("option",)}
@@ -48,10 +54,10 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "out", "score", "order")
+    __slots__ = ("tag", "parent", "path", "out", "named", "score", "order")
 
-    def __init__(self, tag: str, parent: Element | None, path: str, out: bool, order: int):
-        self.tag, self.parent, self.path, self.out, self.order, self.score = tag, parent, path, out, order, 0.0
+    def __init__(self, tag: str, parent: Element | None, path: str, out: bool, named: int, order: int):
+        self.tag, self.parent, self.path, self.out, self.named, self.order, self.score = tag, parent, path, out, named, order, 0.0
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -63,19 +69,30 @@ def _words(name: str) -> list[str]:
 
 
 def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in BOILERPLATE_TAGS:
-        return True
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I) or attributes.get("role", "").lower() in BOILERPLATE_ROLES:
-        return True
+    """Whether tag, role or visibility say that an element is not the article."""
+    return (tag in BOILERPLATE_TAGS or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+            or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I)) or attributes.get("role", "").lower() in BOILERPLATE_ROLES)
+
+
+def _named(tag: str, attributes: dict[str, str]) -> int:
+    """Whether a class or id names boilerplate: 0 no, 1 in its first or last word (as a layout's name may), 2 by itself.
+
+    Words of ids are those of headlines as often as not: an id counts if it has no
+    other words than boilerplate and layout, and not on a heading.
+    """
     if tag in ("html", "body", "main", "article"):
-        return False
-    for name in [*attributes.get("class", "").split(), *attributes.get("id", "").split()]:
+        return 0
+    found = 0
+    for name in attributes.get("class", "").split():
         words = _words(name)
-        if words and words[0] not in ("has", "no", "with") and BOILERPLATE_WORDS.intersection(words):
-            return True
-    return False
+        ends = [w for w, before in zip(words, ["", *words[:-1]], strict=True) if before not in ("has", "no", "with", "without")]
+        if words and words[0] not in ("has", "no", "with", "without") and BOILERPLATE_WORDS.intersection(w for w in (words[0], words[-1]) if w in ends):
+            found = max(found, 1 + (BOILERPLATE_WORDS.issuperset(words) or bool(OTHERS.intersection((words[0], words[-1])))))
+    for name in attributes.get("id", "").split() if tag not in HEADINGS else ():
+        words = _words(name)
+        if BOILERPLATE_WORDS.intersection(words) and all(w in BOILERPLATE_WORDS or w in LAYOUT_WORDS for w in words):
+            found = 2
+    return found
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -83,10 +100,54 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
+def _above(e: Element) -> Iterator[Element]:
+    """The element and what holds it, from the inside out."""
+    node: Element | None = e
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _judge(elements: list[Element], blocks: list[tuple[Element, str, int]]) -> None:
+    """Mark as out what a class or id names boilerplate, unless the page's article is in it.
+
+    The article is in an element that holds a main, or an article or most of the
+    page's text, if no other article or main has text outside named elements.  What
+    is boilerplate by its whole name, or by others, must hold an article and more
+    text than is outside.
+    """
+    named = [e for e in elements if e.named and not e.out]
+    if named:
+        inside = dict.fromkeys((e.order for e in elements), 0)
+        seen, free = 0, set()
+        for holder, _, own in blocks:
+            line = list(_above(holder))
+            for node in line:
+                inside[node.order] += own
+            if not any(node.named for node in line):
+                seen += own
+                free.update(node.order for node in line if node.tag in ("article", "main"))
+        total = inside[0]
+        holds: dict[int, set[str]] = {}
+        for e in elements:
+            if e.tag in ("article", "main") and not e.out and inside[e.order]:
+                for node in _above(e):
+                    holds.setdefault(node.order, set()).add(e.tag)
+        for e in named:
+            tags = holds.get(e.order, set())
+            rival = free - {node.order for node in _above(e)}
+            most = 2 * inside[e.order] > total
+            if "main" in tags or (not rival and (inside[e.order] > seen if e.named == 2 and tags else e.named == 1 and (tags or most))):
+                e.named = 0
+    for e in elements[1:]:
+        e.out = e.out or bool(e.named) or e.parent.out
+
+
 def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     """The elements, and the text blocks outside boilerplate with the innermost element that holds each."""
-    root = Element("", None, "", False, 0)
-    elements, blocks, stack = [root], [], [root]
+    root = Element("", None, "", False, 0, 0)
+    elements, stack = [root], [root]
+    blocks: list[tuple[Element, str, int]] = []
     piece: list[str] = []
     linked = in_link = 0
 
@@ -96,14 +157,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         piece.clear()
         holder = stack[-1]
         if text and not holder.out:
-            blocks.append((holder, text))
-            own, share = max(len(text) - linked, 0), 1.0
-            node: Element | None = holder
-            while node is not None:
-                if node.tag in CONTAINERS or node is root:
-                    node.score += own * share
-                    share *= 0.6
-                node = node.parent
+            blocks.append((holder, text, max(len(text) - linked, 0)))
         linked = 0
 
     def write(text: str) -> None:
@@ -163,12 +217,19 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
                         break
         above = stack[-1]
         path = f"{above.path}>{_step(tag, attributes)}" if tag in CONTAINERS else above.path
-        element = Element(tag, above, path, above.out or _is_boilerplate(tag, attributes), len(elements))
+        element = Element(tag, above, path, above.out or _is_boilerplate(tag, attributes), _named(tag, attributes), len(elements))
         in_link += tag == "a"
         elements.append(element)
         stack.append(element)
     flush()
-    return elements, blocks
+    _judge(elements, blocks)
+    for holder, _, own in blocks:
+        share = 1.0
+        for node in _above(holder) if not holder.out else ():
+            if node.tag in CONTAINERS or node is root:
+                node.score += own * share
+                share *= 0.6
+    return elements, [(holder, text) for holder, text, _ in blocks if not holder.out]
 
 
 def best(elements: list[Element]) -> Element:
@@ -178,14 +239,6 @@ def best(elements: list[Element]) -> Element:
                key=lambda e: (e.score * weight.get(e.tag, 1.0), -e.order))
 
 
-def _above(e: Element) -> Iterator[Element]:
-    """The element and what holds it, from the inside out."""
-    node: Element | None = e
-    while node is not None:
-        yield node
-        node = node.parent
-
-
 def whole(chosen: list[Element], blocks: list[tuple[Element, str]]) -> list[str]:
     """The texts of the article that the chosen containers are in, or are.
 
@@ -248,7 +301,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(id, url, text) per row of ``pages``: the article's blocks, joined by empty lines.
 
     A null or empty page, or one without text outside menus and the like, has an empty
-    text.  Pages without a host do not vote and are extracted by themselves.  Rows that
+    text; an element named like boilerplate that the article is in is none.  Pages without a host do not vote and are extracted by themselves.  Rows that
     repeat give equal rows, ids may repeat or be null, other columns are not read.  An
     empty table gives an empty result.
     """

@@ -28,3 +28,25 @@ def test_nested_containers(sp):
         f"<div class=post>{s}<blockquote><p>{LONG}</blockquote><nav>{other}</nav></div>": (SHORT, LONG),
     }
     assert texts(sp, pages) == [tidy(*w) for w in pages.values()]
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "layout-with-sidebar", "page-header-fixed", "sidebar-layout", "comments-open", "notice sidebar"])
+def test_wrappers_with_telling_names(sp, name):
+    article = f"<article><h1>{TITLE}</h1><p>{SHORT}</p></article>"
+    pages = [f"<body><p>crumb</p><div class='{name}'>{article}<div class=sidebar><p>side</p></div><div id=comments><p>{LONG}</p></div></div></body>",
+             f"<body><div class='{name}'><main><p>{SHORT}</p></main></div></body>"]
+    assert texts(sp, pages) == [tidy(TITLE, SHORT), tidy(SHORT)]
+
+
+def test_slug_ids(sp):
+    page = (f'<article><p>{SHORT}</p><h2 id="social-history">Social history</h2><h2 id=menu>Menu</h2><section id="related-work"><p>works</p></section>'
+            '<div id="notice-period"><p>a month</p></div><div id="sidebar-left"><p>no</p></div><p class="share-buttons">no</p></article>')
+    assert texts(sp, [page]) == [[*tidy(SHORT), "Social history", "Menu", "works", "a month"]]
+
+
+def test_named_boilerplate_stays_out(sp):
+    pages = {f"<div class=post><p>{SHORT}</p></div><div id=comments><article><p>me too</p></article></div>": (SHORT,),
+             f"<div class=post><p>{SHORT}</p></div><div class=sidebar><p>{LONG}</p></div><div class='cookie-note'><p>{LONG}</p></div>": (SHORT,),
+             f"<main><article><p>{SHORT}</p></article><div class=related-posts><article><p>{LONG}</p></article></div></main>": (SHORT,),
+             "<div class=ad-box><p>buy</p></div>": ("",)}
+    assert texts(sp, pages) == [tidy(*w) for w in pages.values()]
