@@ -9,9 +9,9 @@ and then the inverse of E after one step, E(x) + 1.  Different entities therefor
 get different surrogates, and none keeps its value.  ``collisions`` checks this
 over the corpus, in Spark.
 
-Kept as they are: punctuation and spaces, a phone number's first country digit,
+Kept as they are: punctuation and spaces, a phone number's first country digit or trunk 0,
 the first digit and the validity of a card number's check digit, whether an
-address is private, an e-mail's top-level domain, titles.  Given names go to
+address is private, an e-mail's top-level domain, titles, particles of names.  Given names go to
 names of the same gender and script.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from ipaddress import IPv6Address
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ _ROUNDS = 6
 
 # Alphabets by their first and last characters; a character moves within its own.
 RANGES = ("09", "az", "AZ", "ßö", "øÿ", "ÀÖ", "ØÞ", "αω", "ΑΡ", "ΣΩ", "ая", "АЯ", "את", "ؠي", "कह", "ぁん", "ァン", "一鿿", "가힣")
+RANGES += ("ѐџ", "ЀЏ", "άί", "όώ", "ΈΊ", "ԱՖ", "աֆ")
+# Blocks in which capitals and small letters alternate, by case; only letters that change case both ways.
+EXTENDED = tuple("".join(c for c in map(chr, range(*block)) if c != other(c) and len(other(c)) == 1 and back(other(c)) == c)
+                 for block in ((0x100, 0x180), (0x180, 0x250), (0x1E00, 0x1F00)) for other, back in ((str.upper, str.lower), (str.lower, str.upper)))
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 
 # Given names: the fixed pools from which surrogates come; names are detected by them.
@@ -49,8 +54,20 @@ GIVEN = {
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
 _GIVEN = {name: (pool, i) for pool, names in GIVEN.items() for i, name in enumerate(sorted(names))}
 
-_CAPITAL, _SMALL = "A-ZÀ-ÖØ-ÞА-ЯΑ-Ω", "a-zß-öø-ÿа-яα-ω"
-_SURNAME = rf"[{_CAPITAL}][{_SMALL}]+(?:-[{_CAPITAL}][{_SMALL}]+)?"
+_SPACE = "[ \u00a0\u202f]"
+# An apostrophe before a shortened verb or a genitive ends a name.
+_CAPITAL = "".join(c for c in map(chr, [*range(0x600), *range(0x1E00, 0x1F00)]) if c.isupper())
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])"
+_SURNAME = rf"(?:[dDlL]['’])?[{_CAPITAL}](?:['’](?!(?:s|d|m|t|ll|re|ve)\b){_LETTER}|[\-\u2010\u2011]?{_LETTER})+"
+_INITIAL = rf"[{_CAPITAL}](?:\.|(?={_SPACE}))(?:-[{_CAPITAL}]\.)?"
+PARTICLES = "al bin da das de del della den der di do dos du el la le ten ter van vom von y zu zum zur".split()
+_LAST = rf"(?:(?:{'|'.join(PARTICLES)}){_SPACE}){{0,3}}{_SURNAME}"
+_FIRST = rf"(?:{'|'.join(_GIVEN)})(?:-{_SURNAME})?(?!\w)"
+# Middle names and initials, then one or two surnames.
+_REST = rf"(?:(?:{_FIRST}|{_INITIAL}){_SPACE})*{_LAST}(?:{_SPACE}{_INITIAL}(?={_SPACE}[{_CAPITAL}]))*(?:{_SPACE}{_LAST})?(?!\w)"
+_TITLE = rf"(?:{'|'.join(TITLES)})\.?{_SPACE}"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_SHORTENED = "|".join([rf"(?:{_GROUP}:){{2,7}}:", *(rf"(?:{_GROUP}:){{1,{7 - k}}}(?::{_GROUP}){{1,{k}}}" for k in range(1, 7)), rf":(?::{_GROUP}){{2,7}}"])
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 # What a text must hold for a pattern to be tried, as bits.
 AT, DIGIT, EQUALS, NAME = 1, 2, 4, 8
@@ -60,14 +77,23 @@ PATTERNS = tuple((kind, needs, re.compile(p)) for kind, needs, p in (
     ("secret", EQUALS, r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_\-+/=]{8,})"),
     ("secret", DIGIT, r"\b(?=[A-Za-z_\-]*\d)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,}|[0-9A-F]{32,})\b"),
     ("iban", DIGIT, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("ipv6", EQUALS, r"(?<![:\w])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:\w])"),
+    ("ipv6", EQUALS, rf"(?<![:\w])(?:{_GROUP}:){{7}}{_GROUP}(?![:\w])"),
+    ("ipv6", EQUALS, rf"(?<![:\w])(?=[A-Fa-f:]*[0-9])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?=[0-9A-Fa-f:]*::)(?:{_SHORTENED})(?![:\w]|\.[0-9])"),
     ("ip", DIGIT, rf"(?<![\d.])(?=\d{{1,3}}\.\d)(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"),
     ("phone", DIGIT, r"(?<![\d+])\+\d{1,3}(?:[ .\-]?\(\d{1,5}\)|[ .\-]?\d{2,5})(?:[ .\-]?\d{2,5}){1,4}(?!\d)"),
     ("phone", DIGIT, r"(?<!\d)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])"),
     ("account", DIGIT, r"(?<!\d)\d(?:[ \-]?\d){11,18}(?!\d)"),
     ("account", DIGIT, r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"),
-    ("name", NAME, rf"(?<!\w)(?:{'|'.join(_GIVEN)}) {_SURNAME}\b"),
-    ("name", NAME, rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ({_SURNAME})\b"),
+    # National numbers: with a trunk 0 (dates and hours are none), in American or Russian groups, or after a word for telephone.
+    ("phone", DIGIT, r"(?<![\w.,+/:\-])(?![0-9]{1,2}([./\-]) ?[0-9]{1,2}\1 ?[0-9]{2,4}(?![0-9]))"
+                     r"(?![0-9]{1,2}[./\-](?:19|20)[0-9]{2}(?![0-9])|[0-9]{2}\.[0-9]{2} ?[\-–] ?[0-9]{1,2}\.[0-9]{2}(?![0-9]))(?=(?:[^0-9]{0,3}[0-9]){7,14}(?![0-9]))"
+                     r"\(?0[0-9]{1,5}\)?(?:[ \u00a0]?[.\-/–]?[ \u00a0]?[0-9]{2,8}){1,5}(?![\w])"),
+    ("phone", DIGIT, r"(?<![\w.\-])(?:1[ .\-])?(?:[0-9]{3} [0-9]{3} [0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|[0-9]{3}[\-/ ][0-9]{3}-[0-9]{4})(?![\w\-])"),
+    ("phone", DIGIT, r"(?<![\w.\-])8[ \-]?\(?[0-9]{3}\)?[ \-]?[0-9]{3}[ \-][0-9]{2}[ \-][0-9]{2}(?![\w\-])"),
+    ("phone", DIGIT, r"(?i:(?<!\w)(?:tel|phone|telephone|telefon|teléfono|téléphone|tél|mobile|mobil|móvil|handy|fax|тел|телефон)[.:]{0,2}[ \u00a0]?)"
+                     r"(\(?[0-9](?:[ ()./\-]{0,2}[0-9]){5,14})(?![\w])"),
+    ("name", NAME, rf"(?<!\w){_FIRST}{_SPACE}{_REST}"),
+    ("name", NAME, rf"(?<!\w){_TITLE}(?:{_TITLE})*({_REST})"),
 ))
 KINDS = tuple(dict.fromkeys(k for k, _, _ in PATTERNS))
 
@@ -117,6 +143,9 @@ def _alphabet(c: str, vowels: bool) -> tuple[str | None, str, int]:
         for name in (VOWELS, CONSONANTS, VOWELS.upper(), CONSONANTS.upper()):
             if c in name:
                 return name, name, name.index(c)
+    for name in EXTENDED:
+        if c in name:
+            return name, name, name.index(c)
     for lo, hi in RANGES:
         if lo <= c <= hi:
             return lo + hi, lo, ord(c) - ord(lo)
@@ -164,10 +193,12 @@ def _lowered(text: str) -> str:
 
 def canonical(kind: str, text: str) -> str:
     """The entity that a mention stands for."""
-    if kind in ("email", "ipv6"):
+    if kind == "email":
         return _lowered(text)
+    if kind == "ipv6":
+        return str(IPv6Address(text))
     if kind in ("phone", "account"):
-        return "".join(c for c in text if c.isdigit() or c == "+")
+        return "".join(str(int(c)) if c.isdigit() else c for c in text if c.isdigit() or c == "+")
     if kind == "ip":
         return ".".join(str(int(x)) for x in text.split("."))
     if kind == "iban":
@@ -190,12 +221,14 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
             step = lambda x: [x[0], *permuted(key, f"ip{x[0]}", x[1:], [256] * 3)]
         return ".".join(str(x) for x in _walk(step, octets, keep))
     if kind == "ipv6":
-        groups = [int(x, 16) for x in text.split(":")]
+        plain = IPv6Address(text).packed
+        groups = [int.from_bytes(plain[i: i + 2], "big") for i in range(0, 16, 2)]
         return ":".join(f"{x:x}" for x in permuted(key, "ipv6", groups, [65536] * 8))
     if kind == "phone":
         digits = [int(c) for c in text if c.isdigit()]
-        fixed = 1 if text.startswith("+") else 0
-        moved = permuted(key, f"phone{digits[:fixed]}|{fixed}", digits[fixed:], [10] * (len(digits) - fixed))
+        fixed = 1 if text.startswith("+") or digits[0] == 0 else 0
+        step = lambda x: permuted(key, f"phone{digits[:fixed]}|{fixed}", x, [10] * len(x))
+        moved = _walk(step, digits[fixed:], lambda x: fixed or x[0] != 0)
         return _into(text, "".join(map(str, digits[:fixed] + moved)))
     if kind == "account":
         digits = [int(c) for c in text if c.isdigit()]
@@ -207,7 +240,7 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         it = iter(plain[:4] + letters(key, f"iban{plain[:4]}", plain[4:]))
         return "".join(c if c == " " else next(it) for c in text)
     if kind == "name":
-        return " ".join(_name_part(key, w) for w in text.split(" "))
+        return "".join(_name_part(key, w) if w[:1].isalpha() and w not in PARTICLES else w for w in re.split(f"({_SPACE})", text))
     if kind == "secret":
         for digits in ("0123456789abcdef", "0123456789ABCDEF"):
             if set(text) <= set(digits) and not text.isdigit():
@@ -238,7 +271,7 @@ def find(text: str, holds: int = AT | DIGIT | EQUALS | NAME) -> list[tuple[int,
             lo, hi = m.span(m.lastindex or 0)
             if all(hi <= a or lo >= b for a, b, _ in spans):
                 spans.append((lo, hi, kind))
-    parts = {w for lo, hi, kind in spans if kind == "name" for w in text[lo:hi].split(" ")}
+    parts = {w for lo, hi, kind in spans if kind == "name" for w in re.split(_SPACE, text[lo:hi]) if w[1:].strip(".") and w not in PARTICLES}
     if parts:  # later mentions by one name only
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts)))})(?!\w)", text):
             lo, hi = m.span()
@@ -259,7 +292,7 @@ def replace(key: bytes, text: str, holds: int = AT | DIGIT | EQUALS | NAME) -> t
 
 
 _TRIGGER = np.zeros(256, np.uint8)
-for _bit, _chars in ((AT, b"@"), (DIGIT, b"0123456789"), (EQUALS, b"=:")):
+for _bit, _chars in ((AT, b"@"), (EQUALS, b"=:")):
     _TRIGGER[list(_chars)] = _bit
 # A listed name or title anywhere, not followed by a letter: whatever the name patterns find holds one.
 _NAME_HINT = rf"(?:{'|'.join([*_GIVEN, *TITLES])})(?:\PL|$)"
@@ -271,6 +304,7 @@ def _holds(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray
     some = offsets[:-1] < offsets[1:]
     if some.any():
         out[some] = np.bitwise_or.reduceat(_TRIGGER[data], offsets[:-1][some])
+    out[pc.match_substring_regex(texts, r"\p{Nd}").fill_null(False).to_numpy(zero_copy_only=False)] |= DIGIT
     out[pc.match_substring_regex(texts, _NAME_HINT).fill_null(False).to_numpy(zero_copy_only=False)] |= NAME
     return out
 
