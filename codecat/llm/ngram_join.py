@@ -248,22 +248,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id stays.
 
-    Rows that share an id are one document, of which the first by text stays (so
-    exact repeats of a row go); rows with a null id stay.
+    Every row is judged by its own component, also where rows share an id or have
+    none; of equal ids the smaller hash of the text comes first, null ids come last.
+    Of rows with one id and text the first by all columns stays; rows without words
+    and id are linked with nothing and stay.
     """
-    found = stage(jaccard_components(docs, id_col, text_col), "components")
-    gone = found.groupBy("id").agg(F.max((F.col("component_id") == F.col("id")).cast("int")).alias("stays")).where("stays = 0")
-    twice = found.where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1")
-    # The list grows with the corpus, so it is joined in the same way at every size.
-    rest = docs.join(gone.select(F.col("id").alias(id_col)).hint("merge"), id_col, "left_anti")
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("hash"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    if twice.isEmpty():
-        return rest.select(*columns)
-    twice = twice.select(F.col("id").alias(id_col))
-    single = rest.join(twice, id_col, "left_anti")
-    some = rest.join(twice, id_col, "left_semi").select(*columns)
-    firsts = some.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(F.col(text_col).alias("_t"), F.struct(*columns).alias("_row"))).alias("_m"))
-    return single.select(*columns).union(firsts.select(*(F.col(f"_m._row.`{c}`") for c in docs.columns)))
+    keyed = docs.select(key.alias("_key"), F.struct(*columns).alias("_row"))
+    found = stage(jaccard_components(docs.select(key.alias("_key"), F.col(f"`{text_col}`").alias("_text")), "_key", "_text"), "components")
+    gone = found.where(F.col("component_id") != F.col("id")).select(F.col("id").alias("_key")).distinct()
+    twice = found.where(~F.col("id.none") | (F.col("n_shingles") > 0)).groupBy("id").count().where("count > 1")
+    # The list grows with the corpus, so it is joined in the same way at every size.
+    rest = keyed.join(gone.hint("merge"), "_key", "left_anti")
+    if not twice.isEmpty():
+        twice = twice.select(F.col("id").alias("_key"))
+        some = rest.join(twice, "_key", "left_semi")
+        rest = rest.join(twice, "_key", "left_anti").union(some.groupBy("_key", F.col(f"_row.`{text_col}`")).agg(F.min("_row").alias("_row")).select("_key", "_row"))
+    return rest.select(*(F.col(f"_row.`{c}`") for c in docs.columns))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
