@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontamination, html_extract, language_id, mixing, ngram_join, pii, quality_rules, substring_dedup, suffix_dedup, url_filter,
+    decontamination, divergence, fill_in_middle, html_extract, language_id, mixing, ngram_join, pii, quality_rules, substring_dedup,
+    suffix_dedup, url_filter,
 )
 from .stages import on_executors
 
@@ -32,6 +33,8 @@ QUERIES = {f.__name__: _query(f) for f in (
     ngram_join.op8_ngram_join,
     substring_dedup.op9_substring_dedup,
     suffix_dedup.op10_suffix_dedup,
+    fill_in_middle.op12_fill_in_middle,
+    divergence.op13_source_divergence,
 )}
 
 ORACLE = {
@@ -41,4 +44,6 @@ ORACLE = {
     "op8_ngram_join": ngram_join.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_suffix_dedup": suffix_dedup.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }

@@ -107,11 +107,13 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """The words (runs of bytes other than white space) of a slice of texts."""
+    """The words (runs of bytes other than white space, or of those that a subclass's table names) of a slice of texts."""
+
+    table = WORD
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
-        word = WORD[data]
+        word = self.table[data]
         begins, ends = word.copy(), word.copy()
         begins[1:] &= ~word[:-1]
         ends[:-1] &= ~word[1:]
