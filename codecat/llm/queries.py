@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontamination, divergence, fill_in_middle, html_extract, language_id, mixing, ngram_join, pii, quality_rules, substring_dedup,
+    decontamination, divergence, fill_in_middle, hidden_markov, html_extract, language_id, mixing, ngram_join, pii, quality_rules, substring_dedup,
     suffix_dedup, url_filter,
 )
 from .stages import on_executors
@@ -33,6 +33,7 @@ QUERIES = {f.__name__: _query(f) for f in (
     ngram_join.op8_ngram_join,
     substring_dedup.op9_substring_dedup,
     suffix_dedup.op10_suffix_dedup,
+    hidden_markov.op11_hidden_markov,
     fill_in_middle.op12_fill_in_middle,
     divergence.op13_source_divergence,
 )}
