@@ -51,7 +51,8 @@ ENDINGS = 1024
 # Weight of the unigram base in each state's emissions, and of the first guess in starts and transitions, in tokens.
 EMISSION_PRIOR, TRANSITION_PRIOR = 200.0, 10.0
 # Tokens of a piece, cells (steps x pieces) that are worked on at once, and tokens gathered to fill them well.
-PIECE, TOGETHER, GATHERED = 2048, 1 << 19, 1 << 20
+PIECE, TOGETHER, GATHERED = 4096, 1 << 19, 1 << 20
+RESCALE = 8
 U = np.uint64
 END_KEY = 0
 
@@ -228,22 +229,29 @@ class Batch:
         return cls(tokens[at], length, before, live)
 
 
-def _forward(model: Model, batch: Batch, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
-    """Log-likelihood and last state distribution per piece; if kept all scaled messages; scales and emissions per token."""
+def _forward(model: Model, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood and last state distribution per piece; all messages, their scales, and emissions.
+
+    Messages are scaled every ``RESCALE`` tokens and at the end of a piece: in between they stay far above the
+    smallest double.  Cells behind a piece's end are 0.
+    """
     steps, width = batch.classes.shape
     emitted, live, ones = model.emit[batch.classes], [*batch.live.tolist(), 0], np.ones(model.n_states)
     last, scales = np.empty((width, model.n_states)), np.ones((steps, width))
-    alphas = np.zeros((steps, width, model.n_states)) if keep else None
-    a = None
+    alphas = np.zeros((steps, width, model.n_states))
     for t in range(steps):
         m, left = live[t], live[t + 1]
-        a = batch.before[:m].copy() if t == 0 else a[:m] @ model.move
-        a *= emitted[t, :m]
-        c = a @ ones
-        a /= c[:, None]
-        scales[t, :m] = c
-        if keep:
-            alphas[t, :m] = a
+        a = alphas[t, :m]
+        if t:
+            np.matmul(alphas[t - 1, :m], model.move, out=a)
+            a *= emitted[t, :m]
+        else:
+            np.multiply(batch.before[:m], emitted[t, :m], out=a)
+        lo = 0 if t % RESCALE == RESCALE - 1 else left
+        if lo < m:
+            c = a[lo:] @ ones
+            a[lo:] /= c[:, None]
+            scales[t, lo:m] = c
         if left < m:
             last[left:m] = a[left:]
     return np.log(scales).sum(axis=0), last, alphas, scales, emitted
@@ -253,8 +261,6 @@ def _backward(model: Model, batch: Batch, scales: np.ndarray, emitted: np.ndarra
     """Scaled backward messages, and per token the emission times the message over its scale (``emitted`` is used up)."""
     steps, width = batch.classes.shape
     betas, weights = np.zeros((steps, width, model.n_states)), emitted
-    weights /= scales[:, :, None]
-    weights[np.arange(steps)[:, None] >= batch.length[None, :]] = 0
     live, back = [*batch.live.tolist(), 0], model.move.T.copy()
     for t in range(steps - 1, -1, -1):
         m, had = live[t], live[t + 1]
@@ -262,7 +268,13 @@ def _backward(model: Model, batch: Batch, scales: np.ndarray, emitted: np.ndarra
             betas[t, had:m] = after[had:m]
         if had:
             np.matmul(weights[t + 1, :had], back, out=betas[t, :had])
-        weights[t, :m] *= betas[t, :m]
+        w = weights[t, :m]
+        w *= betas[t, :m]
+        lo = 0 if t % RESCALE == RESCALE - 1 else had
+        if lo < m:
+            w[lo:] /= scales[t, lo:m, None]
+        if m < width:
+            weights[t, m:] = 0
     return betas, weights
 
 
@@ -299,20 +311,17 @@ def _ends(model: Model, tokens: np.ndarray, text: np.ndarray, lo: np.ndarray, le
     if not len(long):
         return before, came, after
     scaled, first = np.empty((len(long), s, s)), np.empty((len(long), s))
-    for some in _grouped(length[long], TOGETHER // s):
-        rows = long[some]
-        later = some[nth[rows] > 0]
-        if len(later):
-            rows, width = long[later], len(later)
-            batch = Batch.of(tokens, np.repeat(lo[rows], s), np.repeat(length[rows], s), np.tile(model.move, (width, 1)))
-            log, last, _, _, _ = _forward(model, batch, False)
-            log = log.reshape(width, s, 1)
-            scaled[later] = last.reshape(width, s, s) * np.exp(log - log.max(axis=1, keepdims=True))
-        start = some[nth[long[some]] == 0]
-        if len(start):
-            # A first piece comes from the start distribution instead.
-            rows = long[start]
-            first[start] = _forward(model, Batch.of(tokens, lo[rows], length[rows], before[rows]), False)[1]
+    later, starts = np.flatnonzero(nth[long] > 0), np.flatnonzero(nth[long] == 0)
+    for some in _grouped(length[long[later]], TOGETHER // s):
+        rows, width = long[later[some]], len(some)
+        batch = Batch.of(tokens, np.repeat(lo[rows], s), np.repeat(length[rows], s), np.tile(model.move, (width, 1)))
+        log, last = _forward(model, batch)[:2]
+        log = log.reshape(width, s, 1)
+        scaled[later[some]] = last.reshape(width, s, s) * np.exp(log - log.max(axis=1, keepdims=True))
+    for some in _grouped(length[long[starts]], TOGETHER):
+        # A first piece comes from the start distribution instead.
+        rows = long[starts[some]]
+        first[starts[some]] = _forward(model, Batch.of(tokens, lo[rows], length[rows], before[rows]))[1]
     for at, piece in enumerate(long.tolist()):
         if nth[piece] == 0:
             state = first[at]
@@ -343,7 +352,7 @@ def log_likelihoods(model: Model, tokens: np.ndarray, lengths: np.ndarray) -> np
     before, _, _ = _ends(model, tokens, text, lo, length, nth, False)
     out = np.zeros(len(lengths))
     for some in _grouped(length, TOGETHER):
-        log = _forward(model, Batch.of(tokens, lo[some], length[some], before[some]), False)[0]
+        log = _forward(model, Batch.of(tokens, lo[some], length[some], before[some]))[0]
         np.add.at(out, text[some], log)
     return out
 
@@ -369,20 +378,18 @@ class Expected:
         s = model.n_states
         for some in _grouped(length, TOGETHER):
             batch = Batch.of(tokens, lo[some], length[some], before[some])
-            log, _, alphas, scales, emitted = _forward(model, batch, True)
+            log, _, alphas, scales, emitted = _forward(model, batch)
             betas, weights = _backward(model, batch, scales, emitted, after[some])
-            there = np.arange(len(batch.classes))[:, None] < batch.length[None, :]
-            gamma = (alphas * betas)[there]
-            classes = batch.classes[there]
+            # Cells behind a piece's end hold 0 and add nothing.
+            classes = batch.classes.ravel()
             for k in range(s):
-                self.emit[:, k] += np.bincount(classes, weights=gamma[:, k], minlength=len(self.emit))
-            # Weights are 0 behind a piece's end, so these pairs add nothing.
+                self.emit[:, k] += np.bincount(classes, weights=(alphas[:, :, k] * betas[:, :, k]).ravel(), minlength=len(self.emit))
             self.move += model.move * (alphas[:-1].reshape(-1, s).T @ weights[1:].reshape(-1, s))
             first = nth[some] == 0
             self.start += (alphas[0] * betas[0])[first].sum(axis=0)
             self.move += model.move * (came[some][~first].T @ weights[0][~first])
             self.log += float(log.sum())
-            self.tokens += len(classes)
+            self.tokens += int(batch.length.sum())
 
 
 def _sums(sequences: DataFrame, model: Model, vocab: Vocabulary) -> Expected:
@@ -434,7 +441,8 @@ def _sequences(chunks: DataFrame, vocab: Vocabulary) -> DataFrame:
                 if not learn.any():
                     continue
                 keys, counts = word_keys(data, offsets)
-                tokens, lengths = _with_ends(shared.value.classes(keys), counts)
+                uniq, inverse = np.unique(keys, return_inverse=True)
+                tokens, lengths = _with_ends(shared.value.classes(uniq)[inverse], counts)
                 tokens, lengths = tokens[np.repeat(learn, lengths)], lengths[learn]
                 yield pa.record_batch([pa.array([lengths], pa.list_(pa.int64())), pa.array([tokens.astype(np.uint16).tobytes()], pa.binary())],
                                       names=["lens", "classes"])
@@ -474,7 +482,8 @@ def _asked(chunks: DataFrame, vocab: Vocabulary, n_buckets: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, _, data, offsets, _ in unpacked(batch):
-                bucket, keys, cut = _by_bucket(_rare(word_keys(data, offsets)[0], shared.value), n_buckets)
+                uniq = np.unique(word_keys(data, offsets)[0])
+                bucket, keys, cut = _by_bucket(uniq[~shared.value.find(uniq)[1]], n_buckets)
                 ends = [*cut[1:].tolist(), len(keys)]
                 yield pa.record_batch([
                     pa.array(bucket[cut].astype(np.int32)), pa.array(np.full(len(cut), chunk, np.int64)),
@@ -484,11 +493,6 @@ def _asked(chunks: DataFrame, vocab: Vocabulary, n_buckets: int) -> DataFrame:
     return chunks.mapInArrow(work, "bucket int, chunk bigint, keys binary")
 
 
-def _rare(keys: np.ndarray, vocab: Vocabulary) -> np.ndarray:
-    uniq = np.unique(keys)
-    return uniq[~vocab.find(uniq)[1]]
-
-
 def _by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys dealt to buckets: the bucket of each, the keys by bucket, and where each bucket begins."""
     bucket = (keys >> U(16)) % U(n_buckets)
@@ -514,23 +518,24 @@ def _answered(asked: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "counts": pa.array(out, pa.binary())})
 
 
-def _scored(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary, model: Model, rare: np.ndarray,
-            rare_counts: np.ndarray) -> pa.RecordBatch:
+def _scored(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary, model: Model, look_up) -> pa.RecordBatch:
+    """The scores of a chunk's texts; ``look_up`` tells the counts of sorted keys that are not common."""
     keys, counts = word_keys(data, offsets)
-    at, there = vocab.find(keys)
-    c = np.zeros(len(keys), np.int64)
+    uniq, word = np.unique(keys, return_inverse=True)
+    at, there = vocab.find(uniq)
+    c = np.zeros(len(uniq), np.int64)
     c[there] = vocab.counts[at[there]]
-    if len(rare):
-        c[~there] = rare_counts[np.searchsorted(rare, keys[~there])]
-    classes = np.where(c > 0, vocab.classes(keys), vocab.unknown)
+    c[~there] = look_up(uniq[~there])
+    known = c > 0
+    classes = np.where(known, vocab.classes(uniq), vocab.unknown)
+    # Within its class a known word has the share (c + 1) / mass; an unknown one and the end are all of theirs.
+    inner = np.zeros(len(uniq))
+    inner[known] = np.log(c[known] + 1.0) - np.log(vocab.mass[classes[known]])
     text = np.repeat(np.arange(len(counts)), counts)
     end = int(vocab.counts[vocab.keys == U(END_KEY)].sum())
     total = math.log(vocab.n + vocab.v + 1)
-    base = np.bincount(text, weights=np.log(c + 1.0), minlength=len(counts)) + math.log(end + 1) - (counts + 1) * total
-    # Within its class a known word has the share (c + 1) / mass; an unknown one and the end are all of theirs.
-    known = c > 0
-    inner = np.zeros(len(keys))
-    inner[known] = np.log(c[known] + 1.0) - np.log(vocab.mass[classes[known]])
+    base = np.bincount(text, weights=np.log(c + 1.0)[word], minlength=len(counts)) + math.log(end + 1) - (counts + 1) * total
+    classes, known, inner = classes[word], known[word], inner[word]
     tokens, lengths = _with_ends(classes, counts)
     score = np.bincount(text, weights=inner, minlength=len(counts))
     if vocab.n:
@@ -542,14 +547,12 @@ def _scored(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, vocab: Vocabul
     ], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def _looked_up(rare: np.ndarray, n_buckets: int, buckets: list[int], counts: list[bytes]) -> np.ndarray:
+def _looked_up(rare: np.ndarray, n_buckets: int, told: dict[int, bytes]) -> np.ndarray:
     """The counts of the sorted keys ``rare`` from what the buckets answered."""
     where, _, cut = _by_bucket(rare, n_buckets)
-    order = np.argsort((rare >> U(16)) % U(n_buckets), kind="stable")
-    told = dict(zip(buckets, counts, strict=True))
-    by_bucket = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(told[int(b)], np.int64) for b in where[cut])])
     out = np.empty(len(rare), np.int64)
-    out[order] = by_bucket
+    out[np.argsort((rare >> U(16)) % U(n_buckets), kind="stable")] = np.concatenate(
+        [np.empty(0, np.int64), *(np.frombuffer(told[int(b)], np.int64) for b in where[cut])])
     return out
 
 
@@ -584,9 +587,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         vocab, model = shared.value
         for batch in batches:
             for _, ids, data, offsets, found in unpacked(batch, ("answer",)):
-                rare = _rare(word_keys(data, offsets)[0], vocab)
-                counts = _looked_up(rare, n_buckets, [x["bucket"] for x in found[0]], [x["counts"] for x in found[0]])
-                got = _scored(ids, data, offsets, vocab, model, rare, counts)
+                told = {x["bucket"]: x["counts"] for x in found[0]}
+                got = _scored(ids, data, offsets, vocab, model, lambda rare, told=told: _looked_up(rare, n_buckets, told))
                 held = pa.array(~_learns(ids))
                 yield pa.record_batch([got.column(0), held, got.column(1), got.column(2), pa.array(np.full(len(ids), vocab.n, np.int64)),
                                        got.column(3), got.column(4)],
