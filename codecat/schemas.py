@@ -4,11 +4,19 @@ One DataFrame per record kind; operators take a ``Catalog`` (or single
 frames) and return DataFrames, so a catalogue extracted from Go text and
 one bound from other tables run through the same code.
 
-Columns (``line`` is int for extracted code, long for bound tables):
+Columns (``line`` is int for extracted code, long for bound tables).  A catalogue of
+several repositories has ``repo`` in every table: a package is known by (repo, package),
+and look-ups answer per repository.  One without ``repo`` is that of a single root.
 
-    packages (package, name, dir, files array<string>)
+    packages (package, name, dir, module, files array<string>)
     funcs    (package, name, receiver, signature, doc, body, file, line)
-    types    (package, name, kind, doc, file, line)
+    types    (package, name, kind, doc, file, line; of extracted code also
+              underlying: the text of the type it is defined over,
+              alias_repo, alias_package, alias_type, alias_pointer: what an
+              alias names,
+              complete: no part of its method set lies outside the catalogue,
+              terms array<array<string>>: of an interface, the type terms of
+              each of its lines, all of which a type has to meet)
     methods  (package, type_name, name, receiver, ptr_receiver, signature,
               sig_key, is_promoted, doc, body, file, line)
     vars     (package, name, type, is_const, doc, file, line)
@@ -63,5 +71,10 @@ class Catalog:
     fields: DataFrame | None = field(default=None)
     embeds: DataFrame | None = field(default=None)
 
+    @property
+    def scope(self) -> list[str]:
+        """The key columns beside ``package``: the repository, where the catalogue holds several."""
+        return ["repo"] if "repo" in self.packages.columns else []
+
     def with_(self, **kw) -> "Catalog":
         return replace(self, **kw)
