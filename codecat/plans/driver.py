@@ -696,10 +696,24 @@ from codecat.plans import render as RD  # noqa: E402
 from codecat.plans.catalog import build_catalog  # noqa: E402
 
 
-def _extracted(spark, sf, parts):
-    """Render the tree once (materialised: it feeds several stages), then extract it."""
-    cat, _ = build_catalog(spark, cut_lineage(RD.source_tree(spark, sf, parts)), closure=False)
-    return cat
+def _index(spark, sf, name, build):
+    """A catalogue extracted from rendered text: built once per session, as an indexer does, and then asked."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in B._INDEX:
+        cat = build()
+        B._INDEX[key] = cat.with_(**{t: cut_lineage(getattr(cat, t)) for t in ("packages", "funcs", "types", "methods", "vars", "fields")})
+    return B._INDEX[key]
+
+
+def _extracted(spark, sf):
+    """Render the whole tree (materialised: it feeds several stages), then extract it."""
+    parts = ("customers", "suppliers", "orders", "parts")
+    return _index(spark, sf, "extracted", lambda: build_catalog(spark, cut_lineage(RD.source_tree(spark, sf, parts)), closure=False)[0])
+
+
+def _forks(spark, sf):
+    """One module in two repositories, with its closure."""
+    return _index(spark, sf, "forks", lambda: build_catalog(spark, cut_lineage(RD.forks(spark, sf)))[0])
 
 
 _CU = """
@@ -724,7 +738,7 @@ SELECT package, name, 'func ' || name || '(segment ' || package || '.Segment) fl
 FROM cupos""", _CU))
 def q_extract_funcs(spark, sf):
     """Functions read back from rendered Go files."""
-    cat = _extracted(spark, sf, ("customers",))
+    cat = _extracted(spark, sf)
     return cat.funcs.select("package", "name", "signature", "doc", "body", "file",
                             F.col("line").cast("long").alias("line"))
 
@@ -763,7 +777,7 @@ UNION ALL
 SELECT package, 'Label', 'alias', 'Label is another name for Segment.', dir || '/segment.go', 7 FROM npk""", _TY))
 def q_extract_types(spark, sf):
     """Struct, interface and other types read back with kinds and docs."""
-    cat = _extracted(spark, sf, ("suppliers", "orders"))
+    cat = _extracted(spark, sf)
     return cat.types.select("package", "name", "kind", "doc", "file", F.col("line").cast("long").alias("line"))
 
 
@@ -776,7 +790,7 @@ FROM su, (VALUES (1, 'Name', 'string', 'json:"name"', 'Name is the registered na
 WHERE NOT su.unexp""", _TY))
 def q_extract_fields(spark, sf):
     """Struct fields with tags, doc / trailing comments, multi-name specs."""
-    cat = _extracted(spark, sf, ("suppliers",))
+    cat = _extracted(spark, sf)
     return cat.fields.select("package", "type_name", "ordinal", "name", "type", "tag", "comment")
 
 
@@ -789,7 +803,7 @@ SELECT o.package, o.name AS type_name, 'Part' || CAST(m.l_partkey AS VARCHAR) AS
 FROM orpos o JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) m ON m.l_orderkey = o.key""", _TY))
 def q_extract_iface_methods(spark, sf):
     """E8 + E3/E4: interface methods with receiver, signature and sig_key."""
-    cat = _extracted(spark, sf, ("orders",))
+    cat = _extracted(spark, sf)
     return cat.methods.select("package", "type_name", "name", "receiver", "signature", "sig_key",
                               F.col("line").cast("long").alias("line"))
 
@@ -819,11 +833,74 @@ SELECT pn.package, pn.name, CASE WHEN is_const THEN 'untyped int' ELSE 'int' END
 FROM pn LEFT JOIN cg ON cg.file = pn.file""", _PV))
 def q_extract_vars(spark, sf):
     """Grouped const and var specs, literal typing, spec/group docs."""
-    cat = _extracted(spark, sf, ("parts",))
+    cat = _extracted(spark, sf)
     return cat.vars.select("package", "name", "type", "is_const", "doc", "file",
                            F.col("line").cast("long").alias("line"))
 
 
+# ------------------------------------------------- one module in two repositories
+
+_FORKS = """
+fr(repo) AS (VALUES ('alpha'), ('beta')),
+fsup AS (SELECT repo, s.s_suppkey AS k, p.package FROM supplier s JOIN npk p ON s.s_nationkey = p.nationkey, fr),
+fpart AS (SELECT DISTINCT repo, l_suppkey AS k, l_partkey AS part FROM lineitem, fr WHERE repo = 'alpha' OR l_returnflag <> 'N'),
+fown AS (SELECT f.repo, f.k, 'Part' || CAST(part AS VARCHAR) AS name, '()(int)' AS sig, part % 2 = 0 AS ptr
+         FROM fpart JOIN fsup f ON f.repo = fpart.repo AND f.k = fpart.k
+         UNION ALL SELECT repo, k, 'Error', '()(string)', false FROM fsup WHERE k % 2 = 0),
+ftyp AS (SELECT repo, package, 'Supplier' || CAST(k AS VARCHAR) AS name, k, false AS held, k % 5 = 0 AS open FROM fsup
+         UNION ALL SELECT repo, package, 'Holder' || CAST(k AS VARCHAR), k, true, k % 5 = 0 FROM fsup WHERE k % 4 = 0
+         UNION ALL SELECT repo, package, 'Alias' || CAST(k AS VARCHAR), k, false, k % 5 = 0 FROM fsup WHERE k % 3 = 0)"""
+
+
+@query("fork_methods", with_catalog("""
+SELECT t.repo, t.package, t.name AS type_name, o.name, t.held AS is_promoted, o.ptr AND NOT t.held AS ptr_receiver,
+       'func (s ' || CASE WHEN o.ptr THEN '*' ELSE '' END || t.package || '.Supplier' || CAST(t.k AS VARCHAR) || ') ' || o.name
+         || CASE WHEN o.name = 'Error' THEN '() string' ELSE '() int' END AS signature
+FROM ftyp t JOIN fown o ON o.repo = t.repo AND o.k = t.k WHERE NOT starts_with(t.name, 'Alias')""", _FORKS))
+def q_fork_methods(spark, sf):
+    """S4/E7/E9/E10 with two repositories of one module: each type's own and promoted methods, per repository."""
+    cat = _forks(spark, sf)
+    concrete = cat.types.where(F.col("kind") == "struct").select("repo", "package", F.col("name").alias("type_name"))
+    return cat.methods.join(concrete, ["repo", "package", "type_name"], "left_semi").select(
+        "repo", "package", "type_name", "name", "is_promoted", "ptr_receiver", "signature")
+
+
+@query("implementations_extracted", with_catalog("""
+SELECT req_id, repo, name, route FROM fhit
+UNION ALL SELECT o.req_id, o.repo, NULL, CASE WHEN o.open THEN 'unknown' ELSE 'any_concrete' END
+FROM ford o WHERE NOT EXISTS (SELECT 1 FROM freq r WHERE r.repo = o.repo AND r.req_id = o.req_id)
+-- every package of the repository has these types
+UNION ALL SELECT 'n' || CAST(a.nationkey AS VARCHAR), repo, t, 'value' FROM npk a, npk b, fr, (VALUES ('Cents'), ('Rate'), ('Discount')) AS x(t)""",
+                                                _FORKS, """
+ford AS (SELECT repo, 'o' || CAST(o_orderkey AS VARCHAR) AS req_id, o_orderkey AS o, o_orderkey % 4 = 2 AS open
+         FROM orders JOIN customer ON c_custkey = o_custkey JOIN npk ON nationkey = c_nationkey, fr),
+freq AS (SELECT DISTINCT repo, req_id, 'Part' || CAST(l_partkey AS VARCHAR) || '|()(int)|' AS mid
+         FROM ford JOIN lineitem ON l_orderkey = o
+         UNION ALL SELECT repo, req_id, 'Error|()(string)|' FROM ford WHERE o % 4 = 1),
+fset AS (SELECT t.repo, t.name, o.name || '|' || o.sig || '|' AS mid, t.held OR NOT o.ptr AS val, t.open
+         FROM ftyp t JOIN fown o ON o.repo = t.repo AND o.k = t.k),
+fcount AS (SELECT repo, mid, count(*) AS n FROM fset GROUP BY ALL),
+frank AS (SELECT r.*, row_number() OVER (PARTITION BY r.repo, req_id ORDER BY coalesce(c.n, 0), r.mid) AS rk,
+                 count(*) OVER (PARTITION BY r.repo, req_id) AS need
+          FROM freq r LEFT JOIN fcount c ON c.repo = r.repo AND c.mid = r.mid),
+fcov AS (SELECT r.repo, r.req_id, s.name, any_value(need) AS need, count(*) AS cov, count(*) FILTER (WHERE val) AS nval,
+                bool_or(s.open) AS open, min(rk) AS first
+         FROM frank r JOIN fset s ON s.repo = r.repo AND s.mid = r.mid GROUP BY ALL),
+fhit AS (SELECT c.req_id, c.repo, c.name,
+                CASE WHEN o.open THEN 'unknown' WHEN nval = need THEN 'value' WHEN cov = need THEN 'pointer' ELSE 'unknown' END AS route
+         FROM fcov c JOIN ford o ON o.repo = c.repo AND o.req_id = c.req_id
+         WHERE cov = need OR (c.open AND first = 1))"""))
+def q_implementations_extracted(spark, sf):
+    """L6/L7 on extracted code of two repositories: error, embeds from outside, aliases, holders and type terms."""
+    cat = _forks(spark, sf)
+    asked = cat.types.where((F.col("kind") == "interface") & (F.col("repo") == "alpha"))
+    npk = B.nation_packages(spark, sf).select("package", "nationkey")
+    reqs = asked.join(npk, "package").select(
+        F.when(F.col("name") == "Amount", F.concat(F.lit("n"), F.col("nationkey").cast("string")))
+        .otherwise(F.regexp_replace("name", "^Order", "o")).alias("req_id"), "package", F.col("name").alias("interface"))
+    return implement.find_implementations(cat, reqs).select("req_id", "repo", "name", "route")
+
+
 # ---------------------------------------------------------------- closures
 
 from codecat.operators import closure as CL  # noqa: E402
