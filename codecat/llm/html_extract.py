@@ -9,6 +9,7 @@ such an element is extracted around its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -24,13 +25,15 @@ from .url_filter import host_of
 BROADCAST_HOSTS, BROADCAST_BYTES = 50_000, 8 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button".split())
+RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+# They hold no blocks: where one is left open, the next block ends it.
+CONTROLS = ("button", "select")
 BLOCKS = frozenset(("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
                     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table "
                     "tbody tfoot thead tr ul").split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
-BOILERPLATE_TAGS = frozenset("head nav header footer aside form dialog menu".split())
+BOILERPLATE_TAGS = frozenset("head nav header footer aside form dialog menu button select".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 # Words in a class or id that mark what is not the article.
 BOILERPLATE_WORDS = frozenset(("ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent "
@@ -48,16 +51,17 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
              "option": ("option",)}
 _FENCE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']+|"[^"<]*"|'[^'<]*')*)>|<(/?)([a-zA-Z][^\s/<>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w\-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?![\w\-])""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "out", "named", "score", "order")
+    __slots__ = ("tag", "parent", "step", "path", "out", "named", "score", "order")
 
-    def __init__(self, tag: str, parent: Element | None, path: str, out: bool, named: int, order: int):
-        self.tag, self.parent, self.path, self.out, self.named, self.order, self.score = tag, parent, path, out, named, order, 0.0
+    def __init__(self, tag: str, parent: Element | None, step: str, path: str, out: bool, named: int, order: int):
+        self.tag, self.parent, self.step, self.path = tag, parent, step, path
+        self.out, self.named, self.order, self.score = out, named, order, 0.0
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -100,6 +104,25 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
+def _digest(above: str, step: str) -> str:
+    """A path of any length as a string of one length, from that of the element above."""
+    return hashlib.blake2b(f"{above}>{step}".encode(), digest_size=12).hexdigest()
+
+
+def path_of(e: Element) -> str:
+    """The path of an element in words, from the outside in."""
+    steps = [a.step for a in _above(e) if a.step]
+    return ">".join(["", *reversed(steps)])
+
+
+def path_digest(path: str) -> str:
+    """What ``Element.path`` is for elements on ``path``."""
+    out = ""
+    for step in path.split(">")[1:]:
+        out = _digest(out, step)
+    return out
+
+
 def _above(e: Element) -> Iterator[Element]:
     """The element and what holds it, from the inside out."""
     node: Element | None = e
@@ -118,24 +141,37 @@ def _judge(elements: list[Element], blocks: list[tuple[Element, str, int]]) -> N
     """
     named = [e for e in elements if e.named and not e.out]
     if named:
-        inside = dict.fromkeys((e.order for e in elements), 0)
-        seen, free = 0, set()
+        # Elements come after those around them: sums go up in reverse order, marks down in order.
+        n = len(elements)
+        under = [False] * n
+        for e in elements:
+            under[e.order] = bool(e.named) or (e.parent is not None and under[e.parent.order])
+        inside, clear, seen = [0] * n, [0] * n, 0
         for holder, _, own in blocks:
-            line = list(_above(holder))
-            for node in line:
-                inside[node.order] += own
-            if not any(node.named for node in line):
+            inside[holder.order] += own
+            if not under[holder.order]:
                 seen += own
-                free.update(node.order for node in line if node.tag in ("article", "main"))
+                clear[holder.order] += 1
+        holds: list[set[str]] = [set()] * n
+        for e in reversed(elements):
+            if e.tag in ("article", "main") and not e.out and inside[e.order]:
+                holds[e.order] = holds[e.order] | {e.tag}
+            if e.parent is not None:
+                up = e.parent.order
+                inside[up] += inside[e.order]
+                clear[up] += clear[e.order]
+                if not holds[e.order] <= holds[up]:
+                    holds[up] = holds[up] | holds[e.order]
         total = inside[0]
-        holds: dict[int, set[str]] = {}
+        # Articles and mains with clear text: those around an element are no rivals of it.
+        free, free_around = 0, [0] * n
         for e in elements:
-            if e.tag in ("article", "main") and not e.out and inside[e.order]:
-                for node in _above(e):
-                    holds.setdefault(node.order, set()).add(e.tag)
+            mine = e.tag in ("article", "main") and clear[e.order] > 0
+            free += mine
+            free_around[e.order] = mine + (free_around[e.parent.order] if e.parent is not None else 0)
         for e in named:
-            tags = holds.get(e.order, set())
-            rival = free - {node.order for node in _above(e)}
+            tags = holds[e.order]
+            rival = free > free_around[e.order]
             most = 2 * inside[e.order] > total
             if "main" in tags or (not rival and (inside[e.order] > seen if e.named == 2 and tags else e.named == 1 and (tags or most))):
                 e.named = 0
@@ -145,11 +181,17 @@ def _judge(elements: list[Element], blocks: list[tuple[Element, str, int]]) -> N
 
 def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     """The elements, and the text blocks outside boilerplate with the innermost element that holds each."""
-    root = Element("", None, "", False, 0, 0)
+    root = Element("", None, "", "", False, 0, 0)
     elements, stack = [root], [root]
     blocks: list[tuple[Element, str, int]] = []
     piece: list[str] = []
     linked = in_link = 0
+    # Where the open elements of each tag, and the open blocks, stand in the stack.
+    open_at: dict[str, list[int]] = {}
+    blocks_at: list[int] = []
+
+    def innermost(tags: tuple[str, ...]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     def flush() -> None:
         nonlocal linked
@@ -171,7 +213,10 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         nonlocal in_link
         for e in stack[depth:]:
             in_link -= e.tag == "a"
+            open_at[e.tag].pop()
         del stack[depth:]
+        while blocks_at and blocks_at[-1] >= depth:
+            blocks_at.pop()
 
     at, end = 0, page.rfind(">") + 1
     while True:
@@ -186,10 +231,10 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
                 at = len(page)
             continue
         if m[1] or m[4]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            depth = innermost((tag,))
             if tag in BLOCKS or tag in ("td", "th"):
                 flush() if tag in BLOCKS else piece.append(" ")
-            if depth and (tag in BLOCKS or tag in ("td", "th") or all(stack[i].tag not in BLOCKS for i in range(depth, len(stack)))):
+            if depth and (tag in BLOCKS or tag in ("td", "th") or not (blocks_at and blocks_at[-1] >= depth)):
                 close(depth)
             continue
         attributes = _attributes(m[3] if m[2] else m[6])
@@ -205,30 +250,36 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         if tag in BLOCKS or tag in ("td", "th"):
             flush() if tag in BLOCKS else piece.append(" ")
             if tag in BLOCKS:  # a block ends an open paragraph, with the inline elements in it
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCKS), 0)
-                if depth and stack[depth].tag == "p":
-                    close(depth)
+                control = innermost(CONTROLS)
+                if control and tag != "div":
+                    close(control)
+                if blocks_at and stack[blocks_at[-1]].tag == "p":
+                    close(blocks_at[-1])
             if tag in CLOSED_BY:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in CLOSED_BY[tag]:
-                        close(i)
-                        break
-                    if stack[i].tag in _FENCE.get(tag, ()):
-                        break
+                like = innermost(CLOSED_BY[tag])
+                if like > innermost(_FENCE.get(tag, ())):
+                    close(like)
         above = stack[-1]
-        path = f"{above.path}>{_step(tag, attributes)}" if tag in CONTAINERS else above.path
-        element = Element(tag, above, path, above.out or _is_boilerplate(tag, attributes), _named(tag, attributes), len(elements))
+        step = _step(tag, attributes) if tag in CONTAINERS else ""
+        element = Element(tag, above, step, _digest(above.path, step) if step else above.path, above.out or _is_boilerplate(tag, attributes), _named(tag, attributes), len(elements))
         in_link += tag == "a"
         elements.append(element)
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            blocks_at.append(len(stack))
         stack.append(element)
     flush()
     _judge(elements, blocks)
+    got = [0.0] * len(elements)
     for holder, _, own in blocks:
-        share = 1.0
-        for node in _above(holder) if not holder.out else ():
-            if node.tag in CONTAINERS or node is root:
-                node.score += own * share
-                share *= 0.6
+        got[holder.order] += 0 if holder.out else own
+    for e in reversed(elements):
+        share = got[e.order]
+        if e.tag in CONTAINERS or e is root:
+            e.score = share
+            share *= 0.6
+        if e.parent is not None:
+            got[e.parent.order] += share
     return elements, [(holder, text) for holder, text, _ in blocks if not holder.out]
 
 
@@ -239,7 +290,7 @@ def best(elements: list[Element]) -> Element:
                key=lambda e: (e.score * weight.get(e.tag, 1.0), -e.order))
 
 
-def whole(chosen: list[Element], blocks: list[tuple[Element, str]]) -> list[str]:
+def whole(elements: list[Element], chosen: list[Element], blocks: list[tuple[Element, str]]) -> list[str]:
     """The texts of the article that the chosen containers are in, or are.
 
     That is the outermost article or main around a container, with page headlines
@@ -250,17 +301,21 @@ def whole(chosen: list[Element], blocks: list[tuple[Element, str]]) -> list[str]
     marked = [next((a for a in reversed(list(_above(e))) if a.tag in ("article", "main")), None) for e in chosen]
     tops = {(m or e).order for e, m in zip(chosen, marked, strict=True)}
     around = {a.order: m is not None for e, m in zip(chosen, marked, strict=True) for a in _above(m or e)}
+    # Of each element: the nearest one around a container, and what lies between, marked from the outside in.
+    node_of, kind_of, boxed_in = {}, {}, {}
+    for e in elements:
+        if e.order in around:
+            node_of[e.order], kind_of[e.order], boxed_in[e.order] = e, None, False
+        elif e.parent is not None and e.parent.order in node_of:
+            up = e.parent.order
+            node_of[e.order] = node_of[up]
+            kind_of[e.order] = e.tag if e.tag in PARAGRAPHS else kind_of[up]
+            boxed_in[e.order] = boxed_in[up] or e.tag in CONTAINERS
     beside = set()
     for k, (holder, _) in enumerate(blocks):
-        line = []
-        for node in _above(holder):
-            if node.order in around:
-                break
-            line.append(node)
+        node, kind, boxed = node_of[holder.order], kind_of[holder.order], boxed_in[holder.order]
         if node.order in tops:
             continue
-        kind = next((e.tag for e in line if e.tag in PARAGRAPHS), None)
-        boxed = any(e.tag in CONTAINERS for e in line)
         if kind is None or (around[node.order] and (boxed or kind != "h1")):
             continue
         if around[node.order] or node.tag in ("", "html", "body"):
@@ -268,17 +323,27 @@ def whole(chosen: list[Element], blocks: list[tuple[Element, str]]) -> list[str]
                 beside.add(k)
         else:
             tops.add(node.order)
-    return [text for k, (holder, text) in enumerate(blocks) if k in beside or any(e.order in tops for e in _above(holder))]
+    inside = _under(elements, tops)
+    return [text for k, (holder, text) in enumerate(blocks) if k in beside or inside[holder.order]]
+
+
+def _under(elements: list[Element], orders: set[int]) -> list[bool]:
+    """Whether each element is one of ``orders`` or in one."""
+    out = [False] * len(elements)
+    for e in elements:
+        out[e.order] = e.order in orders or (e.parent is not None and out[e.parent.order])
+    return out
 
 
 def extract(page: str, path: str | None) -> str:
     """The text of the articles on ``path``, or around the page's best container if it has none there."""
     elements, blocks = parse(page)
-    chosen = [e for e in elements if path is not None and e.path == path and (e.tag in CONTAINERS or e.parent is None) and not e.out]
-    orders = {e.order for e in chosen}
-    if not any(e.order in orders for holder, _ in blocks for e in _above(holder)):
+    want = None if path is None else path_digest(path)
+    chosen = [e for e in elements if want is not None and e.path == want and (e.tag in CONTAINERS or e.parent is None) and not e.out]
+    inside = _under(elements, {e.order for e in chosen})
+    if not any(inside[holder.order] for holder, _ in blocks):
         chosen = [best(elements)]
-    return "\n\n".join(whole(chosen, blocks))
+    return "\n\n".join(whole(elements, chosen, blocks))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +351,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = []
         for page in batch.column(1):
             elements, blocks = parse(page.as_py() or "")
-            paths.append(best(elements).path if blocks else None)
+            paths.append(path_of(best(elements)) if blocks else None)
         yield pa.record_batch([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
 
 
