@@ -17,6 +17,7 @@ names of the same gender and script.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -75,7 +76,7 @@ AT, DIGIT, EQUALS, NAME = 1, 2, 4, 8
 PATTERNS = tuple((kind, needs, re.compile(p)) for kind, needs, p in (
     ("email", AT, r"(?<![\w.%+\-])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+"),
     ("secret", EQUALS, r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_\-+/=]{8,})"),
-    ("secret", DIGIT, r"\b(?=[A-Za-z_\-]*\d)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,}|[0-9A-F]{32,})\b"),
+    ("secret", DIGIT, r"\b(?=AKIA|gh[pousr]_|sk-|[0-9a-f]{32}|[0-9A-F]{32})(?=[A-Za-z_\-]{0,200}\d)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,}|[0-9A-F]{32,})\b"),
     ("iban", DIGIT, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ipv6", EQUALS, rf"(?<![:\w])(?:{_GROUP}:){{7}}{_GROUP}(?![:\w])"),
     ("ipv6", EQUALS, rf"(?<![:\w])(?=[A-Fa-f:]*[0-9])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?=[0-9A-Fa-f:]*::)(?:{_SHORTENED})(?![:\w]|\.[0-9])"),
@@ -263,21 +264,36 @@ def _name_part(key: bytes, word: str) -> str:
 
 def find(text: str, holds: int = AT | DIGIT | EQUALS | NAME) -> list[tuple[int, int, str]]:
     """(from, to, kind) of the entities of a text, in order, without overlaps; earlier patterns win."""
-    spans: list[tuple[int, int, str]] = []
+    spans = _Spans()
     for kind, needs, pattern in PATTERNS:
         if not holds & needs:
             continue
         for m in pattern.finditer(text):
-            lo, hi = m.span(m.lastindex or 0)
-            if all(hi <= a or lo >= b for a, b, _ in spans):
-                spans.append((lo, hi, kind))
-    parts = {w for lo, hi, kind in spans if kind == "name" for w in re.split(_SPACE, text[lo:hi]) if w[1:].strip(".") and w not in PARTICLES}
+            spans.add(*m.span(m.lastindex or 0), kind)
+    parts = {w for lo, hi, kind in spans.all() if kind == "name" for w in re.split(_SPACE, text[lo:hi]) if w[1:].strip(".") and w not in PARTICLES}
     if parts:  # later mentions by one name only
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts)))})(?!\w)", text):
-            lo, hi = m.span()
-            if all(hi <= a or lo >= b for a, b, _ in spans):
-                spans.append((lo, hi, "name"))
-    return sorted(spans)
+            spans.add(*m.span(), "name")
+    return spans.all()
+
+
+class _Spans:
+    """Spans without overlaps, in order: the first to come stays."""
+
+    def __init__(self) -> None:
+        self.lo: list[int] = []
+        self.hi: list[int] = []
+        self.kind: list[str] = []
+
+    def add(self, lo: int, hi: int, kind: str) -> None:
+        i = bisect.bisect_left(self.lo, lo)
+        if (i == 0 or self.hi[i - 1] <= lo) and (i == len(self.lo) or hi <= self.lo[i]):
+            self.lo.insert(i, lo)
+            self.hi.insert(i, hi)
+            self.kind.insert(i, kind)
+
+    def all(self) -> list[tuple[int, int, str]]:
+        return list(zip(self.lo, self.hi, self.kind, strict=True))
 
 
 def replace(key: bytes, text: str, holds: int = AT | DIGIT | EQUALS | NAME) -> tuple[str, list[tuple[str, str, str]]]:
