@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 SPAN = 8
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 WINDOW, AGREE = 13, 84
-# Largest number of benchmark seeds that is broadcast (about 100 bytes each); beyond it both sides are shuffled.
-BROADCAST_SEEDS = 200_000
+# Largest number of benchmark seeds (24 bytes each) and of bytes of item texts that are broadcast; beyond it both sides are shuffled.
+BROADCAST_SEEDS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def _words(text: Column) -> Column:
@@ -61,29 +61,45 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     shift: the word of the document (from 0, may be negative) at which the item's
     first word would lie; n_equal: agreeing places over the whole item.  Rows
     without an id take part under a null id; rows that repeat give one alignment.
+    Documents or items that share an id, or have none, are told apart by their
+    words, so an alignment of one never hides that of another.
     Null, empty and wordless texts, and texts or items under ``SPAN`` words, have
     none.  Other columns are not read.
     """
     bench = items.select(F.col(item_col).alias("item"), F.array_remove(_words(F.col(item_text_col)), "").alias("item_words"))
-    bench = _seeded(bench.withColumn("words", F.col("item_words"))).select(
-        "seed", "item", "item_words", F.col("at").alias("item_at")).distinct()
+    bench = bench.withColumn("item_key", F.xxhash64("item", "item_words")).dropDuplicates(["item_key"])
+    seeds = _seeded(bench.select("item_key", F.col("item_words").alias("words"))).select("seed", "item_key", F.col("at").alias("item_at")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words"))
-    # A hint only below a checked size.
-    side = F.broadcast(bench) if bench.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS else bench
-    hits = _seeded(texts).join(side, "seed").withColumn("shift", F.col("at") - F.col("item_at"))
+    texts = texts.withColumn("text_key", F.xxhash64("id", "words"))
+    if _fits(bench, seeds):
+        # The words of a document stay in the task that reads it.
+        hits = _seeded(texts).join(F.broadcast(seeds), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
+        hits = hits.join(F.broadcast(bench), "item_key")
+    else:
+        # Only keys and places are shuffled with the seeds; words are fetched for what hit.
+        narrow = texts.select("text_key", "words").transform(_seeded).select("text_key", "seed", "at").join(seeds, "seed")
+        places = narrow.select("text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        hits = places.join(texts.dropDuplicates(["text_key"]), "text_key").join(bench, "item_key")
     # The stretch of the document beside the item; where the item begins before it, nulls stand for the missing words.
     missing = F.greatest(-F.col("shift"), F.lit(0))
     beside = F.concat(F.array_repeat(F.lit(None).cast("string"), missing),
                       F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item_words") - missing))
     # The partial step, in the task that reads the document, leaves one row of each alignment.
-    aligned = hits.select("id", "item", "shift", "item_words", beside.alias("beside")).groupBy("id", "item", "shift").agg(
-        F.min(F.struct("item_words", "beside")).alias("pair"))
+    aligned = hits.select("id", "item", "shift", "text_key", "item_key", "item_words", beside.alias("beside")).groupBy(
+        "id", "item", "shift", "text_key", "item_key").agg(F.min(F.struct("item_words", "beside")).alias("pair"))
     good = aligned.where(_agrees(F.col("pair.item_words"), F.col("pair.beside")))
     n_equal = F.aggregate(F.zip_with("pair.item_words", "pair.beside", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int")),
                           F.lit(0), lambda n, x: n + x)
     return good.select("id", "item", "shift", n_equal.alias("n_equal"))
 
 
+def _fits(bench: DataFrame, seeds: DataFrame) -> bool:
+    """Whether a benchmark is small enough to broadcast, by its seeds and by the bytes of its words."""
+    size = F.aggregate("item_words", F.lit(0).cast("bigint"), lambda n, w: n + F.octet_length(w) + 24)
+    return (bench.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES
+            and seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS)
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no passage of ``items``; rows with a null id are judged by their text alone."""
     marked = docs.withColumn("_key", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
