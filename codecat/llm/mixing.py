@@ -37,9 +37,13 @@ def _hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15), 16, 10).cast("bigint")
 
 
-def row_key(id_col: str, source_col: str, text_col: str) -> Column:
-    """Equal for rows that repeat, and but for chance only for them."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in (id_col, source_col, text_col)))
+def row_key(docs: DataFrame, columns: list[str]) -> Column:
+    """Equal for rows that repeat in these columns, and but for chance only for them."""
+    def plain(c: str) -> Column:  # hashes skip nulls, and take no maps
+        col = F.col(f"`{c}`")
+        return F.to_json(F.struct(col)) if "map<" in docs.schema[c].dataType.simpleString() else col
+    nulls = F.concat(*(F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in columns))
+    return F.xxhash64(nulls, *map(plain, columns))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -137,8 +141,10 @@ def splitting_tree(quotas: DataFrame, n_shards: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), F.explode_outer("held").alias("x")).select("shard", "x.*").where(F.col("quota") > 0)
 
 
-def mix(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, row_key, size, source, source_size, target, draws) per row of ``docs``; other columns are not read.
+def mix(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+        key_cols: list[str] | None = None) -> DataFrame:
+    """(id, row_key, size, source, source_size, target, draws) per row of ``docs``; columns beyond these and ``key_cols``
+    (id, source and text unless given, of which row_key is made) are not read.
 
     draws: a struct (pass, shard, words, place) for each time that the mix takes the
     document; words is its size but for the one document of a source at which the
@@ -150,7 +156,7 @@ def mix(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", source_
     """
     sized = stage(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        row_key(id_col, source_col, text_col).alias("row_key"), _hash(id_col).alias("place")), "mix-sizes")
+        row_key(docs, key_cols or [id_col, source_col, text_col]).alias("row_key"), _hash(id_col).alias("place")), "mix-sizes")
     sized = sized.withColumn("block", F.pmod("place", F.lit(BLOCKS)))
     sources = stage(targets(sized).withColumns({
         "quota": F.round("target").cast("bigint")}).withColumns({
@@ -189,10 +195,11 @@ def mixture(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", sou
     """The rows of ``docs`` as often as the mix takes them, with shard, place, pass and words.
 
     The document at which its source's target is reached is cut after that many words.
+    A row keeps its own columns: only rows that are equal in all of them stand for each other.
     """
     new = ("pass", "shard", "words", "place")
-    plan = mix(docs, n_shards, id_col, source_col, text_col).select("row_key", "size", F.explode("draws").alias("_draw"))
-    keyed = docs.select(row_key(id_col, source_col, text_col).alias("row_key"), *(F.col(f"`{c}`") for c in docs.columns if c not in new))
+    plan = mix(docs, n_shards, id_col, source_col, text_col, docs.columns).select("row_key", "size", F.explode("draws").alias("_draw"))
+    keyed = docs.select(row_key(docs, docs.columns).alias("row_key"), *(F.col(f"`{c}`") for c in docs.columns if c not in new))
     rows = plan.join(keyed.dropDuplicates(["row_key"]), "row_key")
     cut = F.when(F.col("_draw.words") < F.col("size"), F.array_join(
         F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), " "))
