@@ -52,7 +52,8 @@ ENDINGS = 1024
 EMISSION_PRIOR, TRANSITION_PRIOR = 200.0, 10.0
 # Tokens of a piece, cells (steps x pieces) that are worked on at once, and tokens gathered to fill them well.
 PIECE, TOGETHER, GATHERED = 4096, 1 << 19, 1 << 20
-RESCALE = 8
+# Tokens between two scalings, in doubles (scoring) and in single precision (expected counts).
+RESCALE, RESCALE_SINGLE = 8, 2
 U = np.uint64
 END_KEY = 0
 
@@ -190,6 +191,14 @@ class Model:
     def n_states(self) -> int:
         return len(self.start)
 
+    @property
+    def rescale(self) -> int:
+        return RESCALE if self.emit.dtype == np.float64 else RESCALE_SINGLE
+
+    def single(self) -> "Model":
+        """The same in single precision: expected counts need no more, and are summed in doubles."""
+        return Model(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
+
 
 def first_model(vocab: Vocabulary, n_states: int) -> Model:
     """States that differ a little, and rather last; the same for the same vocabulary."""
@@ -232,13 +241,14 @@ class Batch:
 def _forward(model: Model, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Log-likelihood and last state distribution per piece; all messages, their scales, and emissions.
 
-    Messages are scaled every ``RESCALE`` tokens and at the end of a piece: in between they stay far above the
-    smallest double.  Cells behind a piece's end are 0.
+    Messages are scaled every few tokens (``Model.rescale``) and at the end of a piece: in between they stay far
+    above the smallest number.  Cells behind a piece's end are 0.
     """
     steps, width = batch.classes.shape
-    emitted, live, ones = model.emit[batch.classes], [*batch.live.tolist(), 0], np.ones(model.n_states)
-    last, scales = np.empty((width, model.n_states)), np.ones((steps, width))
-    alphas = np.zeros((steps, width, model.n_states))
+    kind, every = model.emit.dtype, model.rescale
+    emitted, live, ones = model.emit[batch.classes], [*batch.live.tolist(), 0], np.ones(model.n_states, kind)
+    last, scales = np.empty((width, model.n_states)), np.ones((steps, width), kind)
+    alphas = np.zeros((steps, width, model.n_states), kind)
     for t in range(steps):
         m, left = live[t], live[t + 1]
         a = alphas[t, :m]
@@ -246,22 +256,22 @@ def _forward(model: Model, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.nda
             np.matmul(alphas[t - 1, :m], model.move, out=a)
             a *= emitted[t, :m]
         else:
-            np.multiply(batch.before[:m], emitted[t, :m], out=a)
-        lo = 0 if t % RESCALE == RESCALE - 1 else left
+            np.multiply(batch.before[:m], emitted[t, :m], out=a, casting="same_kind")
+        lo = 0 if t % every == every - 1 else left
         if lo < m:
             c = a[lo:] @ ones
             a[lo:] /= c[:, None]
             scales[t, lo:m] = c
         if left < m:
             last[left:m] = a[left:]
-    return np.log(scales).sum(axis=0), last, alphas, scales, emitted
+    return np.log(scales).sum(axis=0, dtype=np.float64), last, alphas, scales, emitted
 
 
 def _backward(model: Model, batch: Batch, scales: np.ndarray, emitted: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scaled backward messages, and per token the emission times the message over its scale (``emitted`` is used up)."""
     steps, width = batch.classes.shape
-    betas, weights = np.zeros((steps, width, model.n_states)), emitted
-    live, back = [*batch.live.tolist(), 0], model.move.T.copy()
+    betas, weights = np.zeros((steps, width, model.n_states), emitted.dtype), emitted
+    live, back, every = [*batch.live.tolist(), 0], model.move.T.copy(), model.rescale
     for t in range(steps - 1, -1, -1):
         m, had = live[t], live[t + 1]
         if had < m:
@@ -270,7 +280,7 @@ def _backward(model: Model, batch: Batch, scales: np.ndarray, emitted: np.ndarra
             np.matmul(weights[t + 1, :had], back, out=betas[t, :had])
         w = weights[t, :m]
         w *= betas[t, :m]
-        lo = 0 if t % RESCALE == RESCALE - 1 else had
+        lo = 0 if t % every == every - 1 else had
         if lo < m:
             w[lo:] /= scales[t, lo:m, None]
         if m < width:
@@ -395,7 +405,7 @@ class Expected:
 def _sums(sequences: DataFrame, model: Model, vocab: Vocabulary) -> Expected:
     """Expected counts over all training texts: partitions send theirs, Spark adds them by position."""
     s, c = model.n_states, vocab.n_classes
-    shared = sequences.sparkSession.sparkContext.broadcast(model)
+    shared = sequences.sparkSession.sparkContext.broadcast(model.single())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, tokens, lengths = Expected.none(s, c), [], []
