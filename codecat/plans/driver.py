@@ -901,6 +901,51 @@ def q_implementations_extracted(spark, sf):
     return implement.find_implementations(cat, reqs).select("req_id", "repo", "name", "route")
 
 
+# ------------------------------------------------------- scopes and initialisers
+
+def _scopes(spark, sf):
+    """Code whose names more than one scope may own, without its closure."""
+    return _index(spark, sf, "scopes", lambda: build_catalog(spark, cut_lineage(RD.scopes(spark, sf)), closure=False)[0])
+
+
+@query("extract_var_chains", with_catalog("""
+SELECT package, 'Order' || CAST(k AS VARCHAR) AS name, false AS is_const,
+       CASE WHEN src % 6 = 0 AND src <> first THEN 'float64'
+            WHEN c % 5 = 0 THEN 'int' WHEN c % 5 = 1 THEN package || '.Local' WHEN c % 5 = 3 THEN 'float64'
+            WHEN c % 5 = 4 THEN 'example.com/base.Thing'
+            -- the chain leads to the customer's last order, and from there perhaps to a constant
+            WHEN last % 6 = 0 AND last <> first OR lastsrc <> first THEN 'float64' END AS type
+FROM ochain
+UNION ALL SELECT package, 'Err' || CAST(k AS VARCHAR), false, 'error' FROM ochain WHERE k = first AND c % 5 = 1
+UNION ALL SELECT 'example.com/base', 'Limit', true, 'untyped float'""", """
+ochain0 AS (SELECT o_orderkey AS k, o_custkey AS c, package, min(o_orderkey) OVER w AS first, max(o_orderkey) OVER w AS last
+            FROM orders JOIN customer ON c_custkey = o_custkey JOIN npk ON nationkey = c_nationkey
+            WINDOW w AS (PARTITION BY o_custkey)),
+-- the order at which a chain ends: the latest one that names a constant, else the first
+ochain AS (SELECT *, max(CASE WHEN k % 6 = 0 OR k = first THEN k END) OVER (PARTITION BY c ORDER BY k) AS src,
+                  max(CASE WHEN k % 6 = 0 OR k = first THEN k END) OVER (PARTITION BY c) AS lastsrc FROM ochain0)"""))
+def q_extract_var_chains(spark, sf):
+    """Variables initialised by others, by calls with several results and by names of a dot import; cycles are NULL."""
+    return _scopes(spark, sf).vars.select("package", "name", "is_const", "type")
+
+
+@query("extract_scopes", with_catalog("""
+SELECT package, 'Supplier' || CAST(s_suppkey AS VARCHAR) AS name, NULL AS field,
+       'func Supplier' || CAST(s_suppkey AS VARCHAR) || CASE WHEN s_suppkey % 2 = 0 THEN '[Local any](a Local' ELSE '(a ' || package || '.Local' END
+       || ', things ...example.com/base.Thing) (map[example.com/base.Segment]*' || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE package || '.' END
+       || 'Local, example.com/base.Thing)' AS text
+FROM supplier JOIN npk ON nationkey = s_nationkey
+UNION ALL SELECT package, 'Box' || CAST(s_suppkey AS VARCHAR), f, t
+FROM supplier JOIN npk ON nationkey = s_nationkey,
+     (VALUES ('Item', 'Thing'), ('All', 'S'), ('Kind', 'example.com/base.Segment'), ('From', 'example.com/base.Thing')) AS x(f, t)"""))
+def q_extract_scopes(spark, sf):
+    """Type parameters before dot imports before the package's own names, in signatures and fields."""
+    cat = _scopes(spark, sf)
+    funcs = cat.funcs.where(F.col("name").startswith("Supplier"))
+    return funcs.select("package", "name", F.lit(None).cast("string").alias("field"), F.col("signature").alias("text")).unionByName(
+        cat.fields.select("package", F.col("type_name").alias("name"), F.col("name").alias("field"), F.col("type").alias("text")))
+
+
 # ---------------------------------------------------------------- closures
 
 from codecat.operators import closure as CL  # noqa: E402
