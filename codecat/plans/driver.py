@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecat.operators import implement, lookup, summary
+from codecat.operators.symbol_index import with_symbol_index
 from codecat.plans import bindings as B
 from codecat.plans.oracle import with_catalog
 from codecat.session import cut_lineage
@@ -173,6 +174,16 @@ def q_implementations_status(spark, sf):
 
 # ---------------------------------------------------------------- find_symbol
 
+def _symbols(spark, sf, of=None):
+    """A catalogue with its symbol index, which is part of what an indexer builds once per session."""
+    name, cat = of or ("bound", lambda: _cat(spark, sf, "packages", "funcs", "types", "methods", "vars"))
+    key = (spark.sparkContext.applicationId, sf, name, "symbols")
+    if key not in B._INDEX:
+        cat = with_symbol_index(cat())
+        B._INDEX[key] = cat.with_(symbol_names=cut_lineage(cat.symbol_names), symbol_freqs=cut_lineage(cat.symbol_freqs))
+    return B._INDEX[key]
+
+
 CAMEL = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '')"
 
 
@@ -218,7 +229,7 @@ r0 AS (
   UNION ALL SELECT 'p' || CAST(p_partkey AS VARCHAR), {CAMEL} || CAST(p_partkey AS VARCHAR), NULL, 'exact' FROM part
   UNION ALL SELECT 'm' || CAST(p_partkey AS VARCHAR), 'Part' || CAST(p_partkey AS VARCHAR), NULL, 'exact' FROM part)"""))
 def q_find_symbol_exact(spark, sf):
-    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
+    cat = _symbols(spark, sf)
     o, p = B.table(spark, sf, "orders"), B.table(spark, sf, "part")
     reqs = (_req(o, _k("o", "o_orderkey"), _k("Customer", "o_custkey"), match=F.lit("exact"))
             .unionByName(_req(p, _k("p", "p_partkey"), F.concat(B.camel(F.col("p_name")),
@@ -237,7 +248,7 @@ r0 AS (
   SELECT DISTINCT q AS req_id, q, CAST(NULL AS VARCHAR) AS kind, 'prefix' AS match FROM (
     SELECT {CAMEL} AS q FROM part UNION ALL SELECT {_W1} FROM part))"""))
 def q_find_symbol_prefix(spark, sf):
-    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
+    cat = _symbols(spark, sf)
     p = B.table(spark, sf, "part")
     q = (p.select(B.camel(F.col("p_name")).alias("q"))
          .unionByName(p.select(F.initcap(F.substring_index("p_name", " ", 1)).alias("q"))).distinct())
@@ -249,7 +260,7 @@ r0 AS (
   SELECT DISTINCT q AS req_id, q, CAST(NULL AS VARCHAR) AS kind, 'contains' AS match FROM (
     SELECT upper({_W2}[1]) || {_W2}[2:] AS q FROM part UNION ALL SELECT {_W2}[2:] FROM part))"""))
 def q_find_symbol_contains(spark, sf):
-    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
+    cat = _symbols(spark, sf)
     p = B.table(spark, sf, "part")
     w2 = F.substring_index("p_name", " ", -1)
     q = (p.select(F.initcap(w2).alias("q"))
@@ -269,7 +280,7 @@ r0 AS (
   FROM part)"""))
 def q_find_symbol_kinds(spark, sf):
     """U1 + L1 + F5-F7 + F14: modes and kinds mixed in one batch."""
-    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
+    cat = _symbols(spark, sf)
     p = B.table(spark, sf, "part")
     t = F.col("p_type")
     name = (F.when(t == "LARGE", _k("Part", "p_partkey")).when(t == "MEDIUM", _k("Customer", "p_partkey"))
@@ -292,7 +303,7 @@ r0 AS (
   FROM orders)"""))
 def q_find_symbol_bad_mode(spark, sf):
     """Unknown modes, missing names, over-long names."""
-    cat = _cat(spark, sf, "packages", "funcs", "types", "methods", "vars")
+    cat = _symbols(spark, sf)
     o = B.table(spark, sf, "orders")
     name = (F.when(F.col("o_orderstatus") == "F", _k("Customer", "o_custkey"))
             .when(F.col("o_orderstatus") == "O", F.lit(None))
@@ -901,6 +912,62 @@ def q_implementations_extracted(spark, sf):
     return implement.find_implementations(cat, reqs).select("req_id", "repo", "name", "route")
 
 
+@query("find_symbol_own_methods", with_catalog("""
+SELECT 'p' || CAST(p_partkey AS VARCHAR) AS req_id, repo, o.package, o.receiver, o.signature
+FROM part JOIN fpm o ON o.part = p_partkey AND o.repo = CASE WHEN p_partkey % 2 = 0 THEN 'alpha' ELSE 'beta' END
+UNION ALL SELECT 'errors', repo, package, package || '.' || name, 'func (s ' || package || '.' || name || ') Error() string'
+FROM ftyp WHERE k % 2 = 0 AND name = 'Supplier' || CAST(k AS VARCHAR)""", _FORKS, """
+-- declared methods of suppliers and explicit ones of orders; what a holder promotes is no symbol of its own
+fpm AS (SELECT f.repo, f.package, fpart.part, CASE WHEN part % 2 = 0 THEN '*' ELSE '' END || f.package || '.Supplier' || CAST(f.k AS VARCHAR) AS receiver,
+               'func (s ' || CASE WHEN part % 2 = 0 THEN '*' ELSE '' END || f.package || '.Supplier' || CAST(f.k AS VARCHAR) || ') Part'
+                 || CAST(part AS VARCHAR) || '() int' AS signature
+        FROM fpart JOIN fsup f ON f.repo = fpart.repo AND f.k = fpart.k
+        UNION ALL
+        SELECT DISTINCT repo, package, l_partkey, package || '.Order' || CAST(o_orderkey AS VARCHAR),
+               'func (' || package || '.Order' || CAST(o_orderkey AS VARCHAR) || ') Part' || CAST(l_partkey AS VARCHAR) || '() int'
+        FROM orders JOIN customer ON c_custkey = o_custkey JOIN npk ON nationkey = c_nationkey JOIN lineitem ON l_orderkey = o_orderkey, fr)"""))
+def q_find_symbol_own_methods(spark, sf):
+    """L1/F7/F14 in two repositories: every part asks for its methods in one of them, one request for Error in all."""
+    cat = _symbols(spark, sf, ("forks", lambda: _forks(spark, sf)))
+    p = B.table(spark, sf, "part")
+    repo = F.when(F.col("p_partkey") % 2 == 0, "alpha").otherwise("beta")
+    reqs = p.select(_k("p", "p_partkey").alias("req_id"), _k("Part", "p_partkey").alias("name"), F.lit("method").alias("kind"),
+                    F.lit("exact").alias("match"), repo.alias("repo"))
+    reqs = reqs.unionByName(spark.createDataFrame(
+        [("errors", "Error", "method", None, None)], "req_id string, name string, kind string, match string, repo string"))
+    return lookup.find_symbol(cat, reqs).select("req_id", "repo", "package", "receiver", "signature")
+
+
+@query("extract_embeds", with_catalog("""
+SELECT repo, package, name AS type_name, CASE WHEN held THEN '*' || package || '.Supplier' || CAST(k AS VARCHAR) ELSE 'example.net/outside.Base' END AS embed,
+       held AS is_pointer
+FROM ftyp WHERE held OR k % 5 = 0 AND NOT starts_with(name, 'Alias')
+UNION ALL SELECT repo, package, 'Order' || CAST(o_orderkey AS VARCHAR), CASE o_orderkey % 4 WHEN 1 THEN 'error' ELSE 'example.net/outside.Closer' END, false
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN npk ON nationkey = c_nationkey, fr WHERE o_orderkey % 4 IN (1, 2)""", _FORKS))
+def q_extract_embeds(spark, sf):
+    """What structs and interfaces embed, by value or pointer, in and outside the code."""
+    return _forks(spark, sf).embeds.select("repo", "package", "type_name", "embed", "is_pointer")
+
+
+@query("get_package", with_catalog("""
+SELECT c_custkey AS req_id, repo, 'ok' AS status, p.name, '/src/' || repo || substr(p.dir, 5) AS dir, n.files AS n_files
+FROM customer JOIN npk p ON p.nationkey = c_nationkey JOIN nf n ON n.nationkey = c_nationkey, fr
+WHERE c_custkey % 7 <> 0 AND (c_custkey % 2 = 0 OR repo = 'alpha')
+UNION ALL SELECT c_custkey, NULL, 'package_not_found', NULL, NULL, NULL FROM customer WHERE c_custkey % 7 = 0""", _FORKS, """
+nf AS (SELECT nationkey, 1 + (SELECT count(DISTINCT s_suppkey // 512) FROM supplier WHERE s_nationkey = nationkey)
+                + (SELECT count(DISTINCT o_orderkey // 512) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = nationkey) AS files
+       FROM npk)"""))
+def q_get_package(spark, sf):
+    """Every customer asks for the package of its nation, in all repositories or in one, or for one that does not exist."""
+    c, npk = B.table(spark, sf, "customer"), B.nation_packages(spark, sf)
+    k = F.col("c_custkey")
+    reqs = c.join(npk, c.c_nationkey == npk.nationkey).select(
+        k.alias("req_id"), F.when(k % 7 == 0, F.concat("package", F.lit("/none"))).otherwise(F.col("package")).alias("package"),
+        F.when((k % 7 != 0) & (k % 2 == 1), "alpha").alias("repo"))
+    return summary.get_package(_forks(spark, sf), reqs).select(
+        "req_id", "repo", "status", "name", "dir", F.when(F.col("status") == "ok", F.size("files")).cast("long").alias("n_files"))
+
+
 # ------------------------------------------------------- scopes and initialisers
 
 def _scopes(spark, sf):

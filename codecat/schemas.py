@@ -70,6 +70,11 @@ class Catalog:
     vars: DataFrame
     fields: DataFrame | None = field(default=None)
     embeds: DataFrame | None = field(default=None)
+    # The stored index of find_symbol (operators/symbol_index.py); all four or none.
+    symbols: DataFrame | None = field(default=None)
+    symbol_names: DataFrame | None = field(default=None)
+    symbol_grams: DataFrame | None = field(default=None)
+    symbol_freqs: DataFrame | None = field(default=None)
 
     @property
     def scope(self) -> list[str]:

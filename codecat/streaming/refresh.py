@@ -37,11 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codecat.operators.symbol_index import INDEX_TABLES, with_symbol_index
 from codecat.plans.catalog import TABLES, build_catalog, read_source_tree, repo_of
 from codecat.schemas import Catalog
 from codecat.session import cut_lineage, scratch_path
 
-ALL_TABLES = (*TABLES, "rejects")
+ALL_TABLES = (*TABLES, *INDEX_TABLES, "rejects")
 _LISTING = "repo string, file string, length long, modified timestamp"
 _MANIFEST = "repo string, version string"
 
@@ -92,7 +93,7 @@ def read_current(spark: SparkSession, catalog_root: str, version: str | None = N
     want = manifest(spark, root, version)
     schemas = {r.table: T.StructType.fromJson(json.loads(r.schema)) for r in spark.read.parquet(f"{root}/schemas/{version}").collect()}
     out = {}
-    for name in ALL_TABLES:
+    for name in (n for n in ALL_TABLES if n in schemas):  # a version of before the index has none
         parts = T.StructType([*schemas[name].fields, T.StructField("version", T.StringType()), T.StructField("repo", T.StringType())])
         df = spark.read.schema(parts).parquet(f"{root}/data/{name}")
         out[name] = df.join(want, ["repo", "version"], "left_semi").drop("version")
@@ -128,7 +129,8 @@ def refresh(spark: SparkSession, root: str, catalog_root: str, external_methods:
         paths = None if everything or "" in names else [f"{root.rstrip('/')}/{n}" for n in names]
         sources = read_source_tree(spark, root, paths).join(changed, "repo", "left_semi")
         cat, rejects = build_catalog(spark, cut_lineage(sources), external_methods, across_repos=False)
-        frames = {**{n: getattr(cat, n) for n in TABLES}, "rejects": rejects}
+        cat = with_symbol_index(cat)
+        frames = {**{n: getattr(cat, n) for n in (*TABLES, *INDEX_TABLES)}, "rejects": rejects}
         for name, df in frames.items():
             write_snapshot(df, f"{base}/data/{name}/version={version}")
         shapes = [(n, T.StructType([f for f in df.schema.fields if f.name != "repo"]).json()) for n, df in frames.items()]
