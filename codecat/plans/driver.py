@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from codecat.operators import implement, lookup, summary
 from codecat.operators.symbol_index import with_symbol_index
 from codecat.plans import bindings as B
+from codecat.plans.catalog import read_catalog, write_catalog
 from codecat.plans.oracle import with_catalog
-from codecat.session import cut_lineage
+from codecat.session import cut_lineage, scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -387,6 +388,27 @@ def q_package_symbols_no_bodies(spark, sf):
     return lookup.get_package_symbols(_cat(spark, sf, "packages", "funcs", "types", "methods", "vars"), _pkg_requests(spark, sf, False))
 
 
+@query("stored_package_symbols", _symbols_sql("""
+preq AS (
+  SELECT 'n' || CAST(p.nationkey AS VARCHAR) AS req_id, p.package AS q
+  FROM npk p JOIN nation n ON n.n_nationkey = p.nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
+  WHERE r.r_name IN ('ASIA', 'EUROPE')),
+hit0 AS (SELECT r.req_id, true AS inc_unexp, false AS inc_bodies, s.* FROM preq r JOIN sec s ON s.package = r.q)""",
+                                                with_bad=False))
+def q_stored_package_symbols(spark, sf):
+    """The bound catalogue stored in buckets by package and read back; a look-up of two regions' packages
+    opens only their buckets, and no body of a function."""
+    root = scratch_path(spark, "catalog")
+    write_catalog(_cat(spark, sf, "packages", "funcs", "types", "methods", "vars"), root, index=False)
+    two = B.table(spark, sf, "region").where(F.col("r_name").isin("ASIA", "EUROPE"))
+    n = B.table(spark, sf, "nation")
+    npk = B.nation_packages(spark, sf)
+    reqs = (npk.join(n, npk.nationkey == n.n_nationkey).join(two, n.n_regionkey == two.r_regionkey)
+            .select(_k("n", "nationkey").alias("req_id"), "package", F.lit(True).alias("include_unexported"),
+                    F.lit(False).alias("include_bodies")))
+    return lookup.get_package_symbols(read_catalog(spark, root), reqs)
+
+
 @query("file_symbols_suffix", _symbols_sql("""
 freq AS (
   SELECT DISTINCT lower(n.n_name) || '/' || lower(c.c_mktsegment) || '.go' AS q

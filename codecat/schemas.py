@@ -75,6 +75,8 @@ class Catalog:
     symbol_names: DataFrame | None = field(default=None)
     symbol_grams: DataFrame | None = field(default=None)
     symbol_freqs: DataFrame | None = field(default=None)
+    # Of a stored catalogue: how many folders its tables are dealt over by package (operators/pruning.py).
+    buckets: int | None = field(default=None)
 
     @property
     def scope(self) -> list[str]:
