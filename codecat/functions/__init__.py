@@ -8,7 +8,6 @@ from codecat.functions.names import (  # noqa: F401
     cut_first,
     is_exported,
     match_mode_status,
-    name_matches,
 )
 from codecat.functions.paths import dirname, file_matches, is_absolute, under_root  # noqa: F401
 from codecat.functions.text import comment_text, empty_to_null, leading_identifier  # noqa: F401

@@ -22,16 +22,6 @@ def is_exported(name) -> Column:
     return _c(name).rlike(r"^\p{Lu}")
 
 
-def name_matches(name, query, mode) -> Column:
-    """exact / prefix / contains, case-sensitive; NULL mode means exact."""
-    n, q, m = _c(name), _c(query), _c(mode)
-    return (
-        F.when(m == "prefix", n.startswith(q))
-        .when(m == "contains", n.contains(q))
-        .otherwise(n == q)
-    )
-
-
 def match_mode_status(mode) -> Column:
     """NULL for a valid (or absent) mode, else the error status."""
     m = _c(mode)

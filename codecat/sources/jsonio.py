@@ -35,43 +35,34 @@ def to_json_rows(df: DataFrame, cols: list[str], omit: set[str], nested: dict[st
     return df.select("*", F.to_json(omitempty_struct(df, cols, omit, nested)).alias(out))
 
 
-def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """S6 file sink; overwrite replaces only the partitions written."""
-    w = df.write.mode("overwrite").option("ignoreNullFields", "true")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.json(path)
-
-
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One run log per file -> parsed token columns with a status.
+    """One run log per file below ``path``, in sub-folders as well -> parsed token columns with a status.
 
     Whole files are read (``binaryFile``: exactly one row per file) so that an
     empty file or a document spread over lines is judged as one record.
     """
-    raw = (spark.read.format("binaryFile").load(path)
-           .select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("json")))
-    # Spark's file listing skips zero-byte files; a run that wrote nothing is
-    # still a run (status ``empty``), so those come from a metadata listing.
-    empty = spark.createDataFrame([(f, "") for f in _zero_length_files(spark, path)], "file string, json string")
-    return parse_run_logs(raw.unionByName(empty), "json")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    full = raw.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("json"))
+    return parse_run_logs(full.unionByName(_zero_length(raw)), "json")
 
 
-def _zero_length_files(spark: SparkSession, path: str) -> list[str]:
-    """Paths of zero-byte files under ``path`` (recursive listing, metadata only)."""
+def _zero_length(raw: DataFrame) -> DataFrame:
+    """(file, json) of the zero-byte files under ``raw``: a run that wrote nothing is still a run (status ``empty``).
+
+    Spark lists them, a job per level of folders where there are many, but gives no row for them.  So they are what
+    its listing holds beside the rows; the listing turns into a table without passing through Python.
+    """
+    spark = raw.sparkSession
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    it = fs.listFiles(p, True)
-    out = []
-    while it.hasNext():
-        st = it.next()
-        if st.getLen() == 0:
-            out.append(st.getPath().toString())
-    return out
+    names = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(raw._jdf.inputFiles())
+    listed = spark._jsparkSession.createDataset(names, jvm.org.apache.spark.sql.Encoders.STRING())
+    rows = raw.select(F.input_file_name().alias("value"))
+    plain = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
+    return (DataFrame(listed.toDF(), spark).join(rows, "value", "left_anti")
+            .select(F.regexp_replace(plain, "^([a-z]+):///", "$1:/").alias("file"), F.lit("").alias("json")))
 
 
-__all__ = ["RUN_LOG", "omitempty_struct", "to_json_rows", "write_json", "read_run_logs", "parse_run_logs"]
+__all__ = ["RUN_LOG", "omitempty_struct", "to_json_rows", "read_run_logs", "parse_run_logs"]
 
 
 # ----------------------------------------------------------- result documents
@@ -113,9 +104,3 @@ def type_info_json(df: DataFrame, out: str = "json") -> DataFrame:
     s = F.struct(F.col("name"), F.col("package"), F.col("kind"), fields.alias("fields"), methods.alias("methods"),
                  nz("embeds").alias("embeds"), empty_to_null(F.col("doc")).alias("doc"), _loc())
     return df.select("*", F.to_json(s).alias(out))
-
-
-def package_summary_json(df: DataFrame, out: str = "json") -> DataFrame:
-    """list_packages rows as summaries: import_path, name, dir, file/func/type counts."""
-    s = F.struct("import_path", "name", "dir", "file_count", "func_count", "type_count")
-    return df.select("*", F.to_json(s).alias(out))

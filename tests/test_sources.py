@@ -41,6 +41,20 @@ def test_read_run_logs_files(spark):
     assert r["d.json"].status == "ok" and r["d.json"].input == 0 and r["d.json"].cost == 1.5
 
 
+def test_read_run_logs_in_folders(spark):
+    """Empty logs count wherever they lie, whatever characters their names have; a folder of empty logs only is fine."""
+    d = tempfile.mkdtemp(prefix="codecat-runs-")
+    names = ["x/a.json", "x/y/none.json", "x/y/no ne+1%41.json", "x/z ü/zero.json", "none.json"]
+    for n in names:
+        os.makedirs(os.path.dirname(os.path.join(d, n)), exist_ok=True)
+        with open(os.path.join(d, n), "w") as f:
+            f.write('{"total_cost_usd": 2}' if n == "x/a.json" else "")
+    r = {x.file: x.status for x in jsonio.read_run_logs(spark, d).collect()}
+    assert r == {f"file:{d}/{n}": "ok" if n == "x/a.json" else "empty" for n in names}
+    only = jsonio.read_run_logs(spark, os.path.join(d, "x/y")).collect()
+    assert [x.status for x in only] == ["empty", "empty"]
+
+
 def test_to_json_omitempty(spark):
     df = spark.createDataFrame([("New", "p", None, "func New()", "", "/a.go", 3)],
                                "name string, package string, receiver string, signature string, doc string, "
