@@ -34,6 +34,7 @@ ORDERS = (2, 3, 4)
 _BITS = 18
 RIDGE = 1e-3
 _SHARPNESS = 4.0
+_PARTS = 16
 # Room: bytes of text whose n-grams are made at once, cells of a presence matrix, columns of a product.
 _PIECE, _CELLS, _WIDTH = 1 << 20, 1 << 25, 1 << 12
 _ODD = {2: 0x9E3779B1, 3: 0x85EBCA6B, 4: 0xC2B2AE35}
@@ -158,9 +159,12 @@ def _sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     keyed = rows.withColumn("key", F.xxhash64("id", F.xxhash64("text")))
     # The ranking moves hashes, not texts; repeated rows are one text.
-    order = Window.partitionBy("lang").orderBy("long", "key")
-    chosen = (keyed.groupBy("lang", "key").agg(F.min(F.length("text") > SAMPLE_CHARS).alias("long"))
-              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).select("lang", "key", "rank"))
+    ranked = keyed.groupBy("lang", "key").agg(F.min(F.length("text") > SAMPLE_CHARS).alias("long"))
+    # First within parts of a language, so that its last ranking sees _PARTS * SAMPLE keys at most.
+    for by in (["lang", F.pmod("key", F.lit(_PARTS))], ["lang"]):
+        order = Window.partitionBy(*by).orderBy("long", "key")
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
+    chosen = ranked.select("lang", "key", "rank")
     # At most SAMPLE rows of each language, a few bytes each.
     return stage(keyed.join(F.broadcast(chosen), ["lang", "key"]).select("lang", "rank", "text").dropDuplicates(["lang", "rank"]), "language-sample")
 
