@@ -46,7 +46,8 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-# Quality posteriors and surrogates cannot be stated in SQL; tests compare with a brute-force version.
+# Quality posteriors and surrogates cannot be stated in SQL; tests/llm/test_pipeline_reference.py compares every stage
+# with a brute-force version.
 ORACLE_SQL = None
 
 
