@@ -1,9 +1,14 @@
+import os
 import random
+import sys
 
 import pytest
 
 from codecat.llm.stages import on_executors
 
+# Tests here take helpers from one another by their plain names; last, so that the conftest of tests/ stays the one found.
+sys.path.append(os.path.dirname(os.path.abspath(__file__)))
+
 WORDS = [f"w{i}" for i in range(400)]
 
 
